@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,9 +69,20 @@ def lookup(rows: DataFrame, small: DataFrame, on: Column | str | list[str], how:
     return rows.join(F.broadcast(small) if n <= BROADCAST_ROWS else small.hint("merge"), on, how)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what one Arrow batch of whole texts holds in a Python worker."""
+def python_ready(spark: SparkSession, rows: int = 1000) -> None:
+    """Before Python runs on the executors: ship this package to them, and bound what one Arrow batch of texts holds."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    context = spark.sparkContext
+    if getattr(context, "_millrace_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="millrace-")) / "millrace.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    atexit.register(shutil.rmtree, archive.parent, ignore_errors=True)
+    context._millrace_shipped = True
 
 
 def words_of(text: Column) -> Column:

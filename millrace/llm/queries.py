@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, simhash
-from .common import small_batches, table
+from .common import python_ready, table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    small_batches(spark)
+    python_ready(spark)
     coded = bpe.bpe(F.col("text"), public_tokenizers.path("byte_bpe_50k.json"), digests=True)
     return table(spark, sf_dir, "documents").select("doc_id", coded.alias("c")).select("doc_id", "c.*")
 

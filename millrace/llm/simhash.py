@@ -35,8 +35,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import settle, small_batches
+from .common import settle, python_ready
 
 BITS = 64
 MAX_DISTANCE = 3
@@ -64,7 +65,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(T.LongType())
 def _fingerprints(text: pa.Array, shingle: pa.Array) -> pa.Array:
     """Fingerprints as signed 64-bit integers."""
     n = shingle[0].as_py() if len(shingle) else 3
@@ -73,7 +74,7 @@ def _fingerprints(text: pa.Array, shingle: pa.Array) -> pa.Array:
 
 def with_fingerprint(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """``doc_id`` and ``fp`` of every row, with the whole row as the struct ``row``."""
-    small_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     return docs.select("doc_id", F.struct(*docs.columns).alias("row"), _fingerprints("text", F.lit(shingle)).alias("fp"))
 
 
@@ -108,6 +109,11 @@ def _finer(rows: DataFrame, level: int) -> DataFrame:
     return at.select("key", F.expr(own if level == 2 else f"shiftleft(sub, 12) | ({own})").alias("sub"), "fp")
 
 
+def distance(x: np.ndarray, y: np.ndarray | np.int64) -> np.ndarray:
+    """Differing bits (numpy counts those of a signed integer's absolute value, hence the view)."""
+    return np.bitwise_count((x ^ y).view(np.uint64))
+
+
 def spanning_links(fps: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the links (at most ``MAX_DISTANCE`` bits apart) among distinct fingerprints."""
     found: list[tuple[int, int]] = []
@@ -116,7 +122,7 @@ def spanning_links(fps: np.ndarray) -> list[tuple[int, int]]:
         front, rest = [rest[0]], rest[1:]
         while front and rest.size:
             x = front.pop()
-            near = np.bitwise_count(rest ^ x) <= MAX_DISTANCE
+            near = distance(rest, x) <= MAX_DISTANCE
             if near.any():
                 reached = rest[near]
                 found += [(int(x), int(y)) for y in reached]
@@ -144,7 +150,7 @@ def _link_groups(batches: Iterator[pa.RecordBatch], cap: int) -> Iterator[pa.Rec
         b: list[int] = []
         two = starts[many & (ends - starts == 2)]
         x, y = rows[2][two], rows[2][two + 1] if two.size else rows[2][two]
-        near = np.bitwise_count(x ^ y) <= MAX_DISTANCE
+        near = distance(x, y) <= MAX_DISTANCE
         a += x[near].tolist()
         b += y[near].tolist()
         for s, e in zip(starts[many & (ends - starts > 2)], ends[many & (ends - starts > 2)], strict=True):
