@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, simhash
+from . import bpe, mixing, quality, sharding, simhash, urls
 from .common import python_ready, table
 
 
@@ -17,6 +17,17 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", coded.alias("c")).select("doc_id", "c.*")
 
 
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -33,6 +44,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op5_quality": op5_quality, "op6_mixing": op6_mixing, "op10_simhash": op10_simhash}
+QUERIES = {"op1_bpe": op1_bpe, "op3_urls": op3_urls, "op4_sharding": op4_sharding, "op5_quality": op5_quality, "op6_mixing": op6_mixing, "op10_simhash": op10_simhash}
 
 ORACLE_SQL: dict[str, str] = {}
