@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, pii, quality, sharding, simhash, urls
+from . import bpe, mixing, pii, quality, sharding, simhash, toxicity, urls
 from .common import python_ready, table
 
 
@@ -17,6 +17,16 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", coded.alias("c")).select("doc_id", "c.*")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels are learnt only from rows outside the held-out fifth."""
+    fold = F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(5)) == 0
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~fold)
+    model = toxicity.train(docs, labels)
+    scored = docs.select("doc_id", F.coalesce(fold, F.lit(False)).alias("held_out"), toxicity.score(docs, model).alias("score"))
+    return scored.select("*", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
 
@@ -54,6 +64,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_urls": op3_urls, "op4_sharding": op4_sharding, "op5_quality": op5_quality, "op6_mixing": op6_mixing, "op8_pii": op8_pii, "op10_simhash": op10_simhash}
+QUERIES = {"op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op3_urls": op3_urls, "op4_sharding": op4_sharding, "op5_quality": op5_quality, "op6_mixing": op6_mixing, "op8_pii": op8_pii, "op10_simhash": op10_simhash}
 
 ORACLE_SQL: dict[str, str] = {}
