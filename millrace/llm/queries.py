@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, pii, quality, sharding, simhash, toxicity, urls
+from . import bpe, mixing, pii, quality, sharding, simhash, topk, toxicity, urls
 from .common import python_ready, table
 
 
@@ -49,6 +49,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
@@ -64,6 +68,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op3_urls": op3_urls, "op4_sharding": op4_sharding, "op5_quality": op5_quality, "op6_mixing": op6_mixing, "op8_pii": op8_pii, "op10_simhash": op10_simhash}
+QUERIES = {"op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op3_urls": op3_urls, "op4_sharding": op4_sharding, "op5_quality": op5_quality, "op6_mixing": op6_mixing, "op7_topk": op7_topk, "op8_pii": op8_pii, "op10_simhash": op10_simhash}
 
 ORACLE_SQL: dict[str, str] = {}
