@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, pii, quality, sharding, simhash, topk, toxicity, urls
+from . import bpe, licenses, mixing, pii, quality, sharding, simhash, topk, toxicity, urls
 from .common import python_ready, table
 
 
@@ -63,11 +63,23 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the likest licence found in it (null: none), its Dice coefficient, and all found."""
+    python_ready(spark)
+    found = table(spark, sf_dir, "documents").select("doc_id", licenses.licences(F.col("text")).alias("f"))
+    return found.select(
+        "doc_id",
+        F.get("f", F.lit(0)).licence.alias("licence"),
+        F.get("f", F.lit(0)).dice.alias("dice"),
+        F.array_join(F.transform("f", lambda x: x.licence), ",").alias("licences"),
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op3_urls": op3_urls, "op4_sharding": op4_sharding, "op5_quality": op5_quality, "op6_mixing": op6_mixing, "op7_topk": op7_topk, "op8_pii": op8_pii, "op10_simhash": op10_simhash}
+QUERIES = {"op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op3_urls": op3_urls, "op4_sharding": op4_sharding, "op5_quality": op5_quality, "op6_mixing": op6_mixing, "op7_topk": op7_topk, "op8_pii": op8_pii, "op9_licenses": op9_licenses, "op10_simhash": op10_simhash}
 
 ORACLE_SQL: dict[str, str] = {}
