@@ -15,8 +15,9 @@ from ``REMOVE`` on they are removed.
 
 Scale: one pass finds the patterns and the terms near them; only those few
 words are counted by pair, summed before they are shuffled.  The counts n(t)
-need only the candidate terms: their table is broadcast while it has a checked
-size, else words are joined by a shuffle.  No text is shuffled.
+need only the terms that may still reach the threshold, given how often they
+occur near any entity: their table is broadcast while it has a checked size,
+else words are joined by a shuffle.  No text is shuffled.
 
 All patterns take time linear in the text.
 
@@ -33,6 +34,7 @@ import re
 from bisect import bisect_left
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,7 +54,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TERM = re.compile(r"[^\W\d_]{2,}")
+_TERM = regex.compile(r"\p{L}{2,}")  # as the words of the corpus counts
 _DIGITS = str.maketrans("", "", " -+().")
 
 
@@ -131,8 +133,8 @@ def _terms_near(text: str, spans: list[tuple[int, int, str]]) -> list[dict[str,
     out = []
     for a, b, kind in spans:
         entity = _hash(f"{kind}:{text[a:b].lower()}")
-        words = [(text[x:y].lower(), x, y) for x, y in _around(text, spans, a, b)]
-        context = _hash(" ".join(w for w, _, _ in words))
+        words = [(text[x:y], x, y) for x, y in _around(text, spans, a, b)]
+        context = _hash(" ".join(w for w, _, _ in words).lower())
         out += [{"entity": entity, "context": context, "term": w, "start": x, "end": y} for w, x, y in words]
     return out
 
@@ -154,18 +156,24 @@ def disclosures(found: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = near.groupBy("entity", "term", "context").agg(F.count_distinct("rid").alias("docs"))
     pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("docs").alias("n_pair"))
     pairs = settle(pairs.where(F.col("contexts") >= SUPPORT))
-    terms = settle(pairs.select("term").distinct())
+    n = texts.count()
+    seen = near.select("rid", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    close = near.select("rid", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_close"))
+
+    def disclosure(n_term: str) -> Column:
+        both = F.least("n_pair", "n_entity", n_term)
+        return F.log2(n * both / (F.col("n_entity") * F.col(n_term))) / F.log2(F.lit(float(n)) / F.col("n_entity"))
+
+    # A term occurs in at least as many documents as it occurs in near any entity: most pairs fall by that alone.
+    at = pairs.join(seen, "entity").join(close, "term").where(F.col("n_entity") < n)
+    at = settle(at.where(disclosure("n_close") >= GENERALISE))
+    terms = settle(at.select("term").distinct())
     if terms.isEmpty():
-        return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
+        return at.select("entity", "term", F.lit(0.0).alias("disclosure"))
     words = texts.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"([\p{L}]{2,})"), F.lit(1)), F.lower))).alias("term"))
     n_term = lookup(words, terms, "term", "inner").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    entities = pairs.select("entity").distinct()
-    n_entity = lookup(near.select("rid", "entity").distinct(), entities, "entity", "inner").groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    n = texts.count()
-    at = pairs.join(n_term, "term").join(n_entity, "entity")
-    both = F.least("n_pair", "n_entity", "n_term")
-    part = F.log2(n * both / (F.col("n_entity") * F.col("n_term"))) / F.log2(F.lit(float(n)) / F.col("n_entity"))
-    return settle(at.where(F.col("n_entity") < n).select("entity", "term", part.alias("disclosure")).where(F.col("disclosure") >= GENERALISE))
+    told = at.join(n_term, "term").select("entity", "term", disclosure("n_term").alias("disclosure"))
+    return settle(told.where(F.col("disclosure") >= GENERALISE))
 
 
 def find(docs: DataFrame, keep_row: bool = False) -> DataFrame:
@@ -173,7 +181,8 @@ def find(docs: DataFrame, keep_row: bool = False) -> DataFrame:
     python_ready(docs.sparkSession)
     own = [F.struct(*docs.columns).alias("row")] if keep_row else []
     found = docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), *own, _find("text").alias("f"))
-    found = settle(found.select("doc_id", "rid", *[c for c in ("row",) if keep_row], "f.spans", "f.near"))
+    lowered = F.transform("f.near", lambda x: x.withField("term", F.lower(x.term))).alias("near")
+    found = settle(found.select("doc_id", "rid", *[c for c in ("row",) if keep_row], "f.spans", lowered))
     texts = found.select("row.text") if keep_row else docs.select("text")
     telling = disclosures(found.select("rid", "near").where(F.size("near") > 0), texts)
     near = found.select("rid", F.explode("near").alias("n")).select("rid", "n.*")
