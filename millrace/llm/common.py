@@ -1,17 +1,20 @@
-"""What the operators share: written intermediates, lookups of checked size, word patterns."""
+"""What the operators share: lookups of checked size, shipping of this package, word patterns."""
 
 from __future__ import annotations
 
 import atexit
 import shutil
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import settle
+
+__all__ = ["BLANKS", "BLANK_RUN", "WORD", "lookup", "python_ready", "settle", "table", "words_of"]
+
 #: White space of the word contract: ``\x20`` and ``\x09``-``\x0D``.
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 #: A run of it, for Java's regular expressions.
@@ -27,39 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that is unset (single-machine tests) is a temporary folder made and recorded.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session may have ended already; the folder is temporary anyway
-        pass
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    This cuts the lineage, so later passes neither repeat the work above nor lose it with an executor.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def lookup(rows: DataFrame, small: DataFrame, on: Column | str | list[str], how: str = "left") -> DataFrame:
     """Join ``rows`` with a table that is usually small.
 
