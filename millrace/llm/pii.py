@@ -9,7 +9,9 @@ the two over documents, as a part of the entity's information content,
     log(N * n(e, t) / (n(e) * n(t))) / log(N / n(e)),
 
 1 where the term never occurs without the entity.  Pairs count only with
-``SUPPORT`` different contexts, so that copies of one text prove nothing.  From
+``SUPPORT`` effective contexts: the words on either side of the term, counted
+by the inverse of the chance that two documents share them.  So copies of one
+text prove nothing, nor do copies with a few words changed.  From
 ``GENERALISE`` on, occurrences of the term near the entity are generalised;
 from ``REMOVE`` on they are removed.
 
@@ -45,7 +47,7 @@ from .common import lookup, python_ready, settle
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Terms are looked for so many words before and after an entity, at most so many characters away.
 WINDOW, REACH = 5, 120
-#: Different contexts that a pair needs, and the disclosures from which its terms are generalised or removed.
+#: Effective contexts that a pair needs, and the disclosures from which its terms are generalised or removed.
 SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -98,22 +100,16 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-def _around(text: str, spans: list[tuple[int, int, str]], a: int, b: int) -> list[tuple[int, int]]:
-    """The terms within the window of the entity text[a:b], none of them inside a span."""
+def _around(text: str, a: int, b: int) -> list[list[tuple[int, int]]]:
+    """The words next to the entity text[a:b], before and after it, nearest first: one more than the window on either side."""
     low, high = max(0, a - REACH), min(len(text), b + REACH)
-    while low < a and low and text[low - 1].isalpha():  # a word that is cut off isn't a term
+    while 0 < low < a and text[low - 1].isalpha():  # a word that is cut off isn't a term
         low += 1
-    before = [m.span() for m in _TERM.finditer(text, low, a)][-WINDOW:]
-    after = [m.span() for m in _TERM.finditer(text, b, high)][:WINDOW]
+    before = [m.span() for m in _TERM.finditer(text, low, a)][-WINDOW - 1 :][::-1]
+    after = [m.span() for m in _TERM.finditer(text, b, high)][: WINDOW + 1]
     if after and after[-1][1] == high < len(text) and text[high].isalpha():
         after.pop()
-    starts = [s for s, _, _ in spans]
-
-    def inside(x: int, y: int) -> bool:
-        k = bisect_left(starts, y)
-        return any(spans[j][1] > x for j in range(max(0, k - 8), k))
-
-    return [w for w in before + after if not inside(*w)]
+    return [before, after]
 
 
 def _hash(value: str) -> int:
@@ -131,11 +127,20 @@ _PA_NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()),
 
 def _terms_near(text: str, spans: list[tuple[int, int, str]]) -> list[dict[str, object]]:
     out = []
+    starts = [s for s, _, _ in spans]
+
+    def inside(x: int, y: int) -> bool:
+        k = bisect_left(starts, y)
+        return any(spans[j][1] > x for j in range(max(0, k - 8), k))
+
     for a, b, kind in spans:
         entity = _hash(f"{kind}:{text[a:b].lower()}")
-        words = [(text[x:y], x, y) for x, y in _around(text, spans, a, b)]
-        context = _hash(" ".join(w for w, _, _ in words).lower())
-        out += [{"entity": entity, "context": context, "term": w, "start": x, "end": y} for w, x, y in words]
+        for words in _around(text, a, b):
+            said = ["", *(text[x:y] for x, y in words), ""]
+            for k, (x, y) in enumerate(words[:WINDOW], 1):
+                if not inside(x, y):
+                    context = _hash(f"{said[k - 1]} {said[k + 1]}".lower())
+                    out.append({"entity": entity, "context": context, "term": said[k], "start": x, "end": y})
     return out
 
 
@@ -154,7 +159,8 @@ def disclosures(found: DataFrame, texts: DataFrame) -> DataFrame:
     """(entity, term, disclosure) of the pairs that reach ``GENERALISE``; found has rid and near, texts all texts."""
     near = found.select("rid", F.explode("near").alias("n")).select("rid", "n.entity", "n.context", "n.term")
     pairs = near.groupBy("entity", "term", "context").agg(F.count_distinct("rid").alias("docs"))
-    pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("docs").alias("n_pair"))
+    docs = F.col("docs").cast("double")
+    pairs = pairs.groupBy("entity", "term").agg((F.sum(docs) * F.sum(docs) / F.sum(docs * docs)).alias("contexts"), F.sum("docs").alias("n_pair"))
     pairs = settle(pairs.where(F.col("contexts") >= SUPPORT))
     n = texts.count()
     seen = near.select("rid", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
