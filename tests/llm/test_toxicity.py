@@ -1,0 +1,93 @@
+"""Pairwise terms by definition, learning of what linear weights miss, held-out accuracy, no leaks."""
+
+from __future__ import annotations
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from millrace.llm import toxicity
+from millrace.llm.queries import op2_toxicity
+
+
+def test_logit_is_the_sum_over_pairs():
+    rng = np.random.default_rng(0)
+    m = toxicity.Model(0.3, np.arange(6), rng.normal(size=6), rng.normal(size=(6, 3)))
+    at, x = np.array([0, 2, 5]), np.array([1.0, 0.5, 2.0])
+    want = 0.3 + m.w[at] @ x + sum(m.v[at[i]] @ m.v[at[j]] * x[i] * x[j] for i in range(3) for j in range(i))
+    assert m.logit(at, x) == pytest.approx(want)
+    assert m.logit(np.zeros(0, int), np.zeros(0)) == 0.3
+
+
+def test_pairs_that_additive_weights_miss():
+    """Toxic only when exactly one of two terms is there."""
+    rng = np.random.default_rng(1)
+    rows, y = [], []
+    for _ in range(1500):
+        at = np.flatnonzero(rng.random(2) < 0.5)
+        rows.append((at, np.ones(len(at), np.float32)))
+        y.append(float(len(at) == 1))
+    m = toxicity.fit(np.arange(2), rows, np.array(y))
+    right = np.mean([(m.logit(*r) >= 0) == bool(v) for r, v in zip(rows, y, strict=True)])
+    assert right == 1.0
+
+
+def _corpus(spark, at, n=1500):
+    rnd = random.Random(4)
+    filler = [f"filler{k}" for k in range(300)]
+    docs, labels = [], []
+    for i in range(n):
+        words = [rnd.choice(filler) for _ in range(rnd.randint(5, 80))]
+        toxic = i % 7 == 0
+        if toxic:
+            words[rnd.randrange(len(words))] = rnd.choice(["vilename", "vilenames", "Nastyword"])
+        docs.append((i, " ".join(words), "en", 1 - toxic))
+        if i % 2 == 0:
+            labels.append((i, 1, int(toxic)))
+    docs += [(n, None, "en", 0), (n + 1, "", None, 0), (None, "filler1", None, 0)]
+    labels += [(n, 1, None), (None, 0, 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, toxic int").repartition(3).write.parquet(str(at / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(at / "labels.parquet"))
+    return docs, labels
+
+
+def test_query(spark, tmp_path):
+    docs, _ = _corpus(spark, tmp_path)
+    got = {r.doc_id: r for r in op2_toxicity(spark, str(tmp_path)).collect()}
+    assert len(got) == len(docs)
+    for i, text, _, clean in docs:
+        r = got[i]
+        if i is not None:
+            assert r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
+        if text and i is not None:
+            assert r.predicted == 1 - clean
+    again = {r.doc_id: r.score for r in op2_toxicity(spark, str(tmp_path)).collect()}
+    assert again == {i: r.score for i, r in got.items()}
+
+
+def test_labels_of_the_held_out_fifth_change_nothing(spark, tmp_path):
+    docs, labels = _corpus(spark, tmp_path / "a")
+    flipped = [(i, q, 1 - t if i is not None and t is not None and zlib.crc32(str(i).encode()) % 5 == 0 else t) for i, q, t in labels]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, toxic int").repartition(3).write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    spark.createDataFrame(flipped, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "b" / "labels.parquet"))
+    a, b = ({r.doc_id: r.score for r in op2_toxicity(spark, str(tmp_path / k)).collect()} for k in "ab")
+    assert a == b
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 0, 0)], [(1, 0, 1), (3, 0, 1)]])
+def test_labels_of_one_kind(spark, tmp_path, labels):
+    spark.createDataFrame([(1, "a b"), (3, "c")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = op2_toxicity(spark, str(tmp_path)).collect()
+    assert {r.predicted for r in got} == {int(any(t for _, _, t in labels))}
+
+
+def test_held_out_accuracy_on_the_tables(spark):
+    sf = "/root/testdata/sf0.1"
+    scored = op2_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("predicted", "toxic").collect()
+    hit = sum(r.predicted and r.toxic for r in scored)
+    assert hit / sum(r.toxic for r in scored) >= 0.85
+    assert sum(r.predicted and not r.toxic for r in scored) / sum(not r.toxic for r in scored) <= 0.01
