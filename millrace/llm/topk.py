@@ -40,7 +40,9 @@ from .common import python_ready, settle
 
 K = 10
 QUERY_BLOCK = 20_000
-CHUNK, LEAF, BASE = 4096, 32, 1.3
+CHUNK, BASE = 4096, 1.3
+#: Points of a leaf: of data, and of queries, whose groups are kept tight since one worst score stands for each.
+LEAF, QUERY_LEAF = 32, 4
 _NONE = np.iinfo(np.int64).min
 _SLACK = 1e-9
 
@@ -57,7 +59,7 @@ class CoverTree:
     points: list[np.ndarray]
 
     @classmethod
-    def build(cls, x: np.ndarray) -> CoverTree:
+    def build(cls, x: np.ndarray, leaf: int = LEAF) -> CoverTree:
         """Of float64 rows (at least one)."""
         square = np.einsum("ij,ij->i", x, x)
 
@@ -70,7 +72,7 @@ class CoverTree:
         while todo:
             node, rows, far = todo.pop()
             radii[node] = float(far.max())
-            if len(rows) <= LEAF or radii[node] <= 1e-9:
+            if len(rows) <= leaf or radii[node] <= 1e-9:
                 points[node] = rows
                 continue
             cover, best, owner, chosen = radii[node] / BASE, far.copy(), np.zeros(len(rows), np.int64), [centres[node]]
@@ -196,7 +198,7 @@ def search(vectors: DataFrame, k: int = K, every: int = 100) -> DataFrame:
             ids, own = by_length.setdefault(len(q), ([], []))
             ids.append(i)
             own.append(q)
-        trees = {n: (CoverTree.build(np.array(own, dtype=np.float64).reshape(len(own), n)), np.array(ids)) for n, (ids, own) in by_length.items()}
+        trees = {n: (CoverTree.build(np.array(own, dtype=np.float64).reshape(len(own), n), QUERY_LEAF), np.array(ids)) for n, (ids, own) in by_length.items()}
         parts.append(rows.mapInArrow(_searcher(trees, k), "query_id long, q long, vec_id long, score long"))
     if not parts:
         parts = [rows.mapInArrow(_searcher({}, k), "query_id long, q long, vec_id long, score long")]

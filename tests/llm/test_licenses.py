@@ -1,0 +1,81 @@
+"""Dice by definition; a scan that finds what trying every passage finds."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+
+from millrace.llm import licenses
+from millrace.llm.queries import op9_licenses
+
+
+@pytest.fixture(scope="module")
+def scanner():
+    return licenses.Scanner(licenses.TEMPLATES, licenses.THRESHOLD)
+
+
+def test_dice():
+    d = lambda a, b: licenses.dice(a.split(), b.split())
+    assert d("a b c", "a b c") == 1 and d("a b", "c d") == 0 and d("a", "a") == 0
+    assert d("a b a b", "a b") == pytest.approx(2 / 4) and d("a b c d", "a b c x") == pytest.approx(4 / 6)
+
+
+FILLER = ("lorem ipsum dolor sit amet the of in to license software any use " * 4).split()
+
+
+@pytest.mark.parametrize(("name", "k"), [(n, k) for n, ts in licenses.TEMPLATES.items() for k in range(len(ts))])
+def test_every_notice_is_found_inside_a_text(scanner, name, k):
+    rnd = random.Random(k)
+    notice = licenses.TEMPLATES[name][k]
+    text = " ".join(rnd.choices(FILLER, k=80)) + "\n" + notice.upper() + "\n" + " ".join(rnd.choices(FILLER, k=80))
+    assert scanner.scan(text)[0] == (name, pytest.approx(1.0))
+    assert scanner.scan(notice)[0][0] == name
+
+
+def test_changed_notices(scanner):
+    """Some words of a long notice changed, dropped or added: the score is at least that of the passage itself."""
+    rnd = random.Random(3)
+    for name in ("MIT", "Apache-2.0", "BSD-3-Clause", "GPL-3.0"):
+        words = licenses.normalised(licenses.TEMPLATES[name][0])
+        for _ in range(10):
+            changed = list(words)
+            for _ in range(max(1, len(words) // 30)):
+                at = rnd.randrange(2, len(changed) - 2)
+                changed[at : at + 1] = rnd.choice([[], ["foo"], [changed[at], "bar"]])
+            own = licenses.dice(changed, words)
+            found = dict(scanner.scan(" ".join(["zzz"] * 30 + changed + ["yyy"] * 30)))
+            assert own < licenses.THRESHOLD or found.get(name, 0) >= own - 0.05
+
+
+def test_clean_texts_have_none(scanner):
+    rnd = random.Random(4)
+    for _ in range(50):
+        assert scanner.scan(" ".join(rnd.choices(FILLER, k=300))) == []
+
+
+def test_short_notice_against_every_passage(scanner):
+    """Against trying all passages of a short text."""
+    rnd = random.Random(6)
+    vocabulary = "licensed under the mit apache license version 2 0 released cc by nc 4".split()
+    for _ in range(150):
+        words = rnd.choices(vocabulary, k=14)
+        passages = [words[a:b] for a in range(15) for b in range(a + 2, 15)]
+        want = {}
+        for name, notice in scanner.texts:
+            m = len(notice) - 1
+            fit = [p for p in passages if scanner.least * m <= len(p) - 1 <= scanner.most * m]
+            if m >= 4 and fit and (best := max(licenses.dice(p, notice) for p in fit)) >= 0.999:
+                want[name] = best
+        found = dict(scanner.scan(" ".join(words)))
+        assert all(found.get(n, 0) >= v - 1e-9 for n, v in want.items())
+        assert all(v >= licenses.THRESHOLD for v in found.values())
+
+
+def test_query(spark, tmp_path):
+    rows = [(1, "x y\nReleased under the MIT License.", "q"), (2, None, "q"), (3, "", "q"), (1, "x y\nReleased under the MIT License.", "q"), (None, "Licensed under CC BY-NC 4.0.", "q")]
+    spark.createDataFrame(rows, "doc_id long, text string, licence string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, op9_licenses(spark, str(tmp_path)).collect()), key=repr)
+    assert got == sorted([(1, "MIT", 1.0, "MIT")] * 2 + [(2, None, None, ""), (3, None, None, ""), (None, "CC-BY-NC-4.0", 1.0, "CC-BY-NC-4.0")], key=repr)
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "e" / "documents.parquet"))
+    assert op9_licenses(spark, str(tmp_path / "e")).count() == 0

@@ -1,0 +1,78 @@
+"""Balance, whole groups, gapless slots; cuts against sorting."""
+
+from __future__ import annotations
+
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.llm import sharding
+from millrace.llm.queries import op4_sharding
+
+
+def _check(rows, got, balance):
+    text = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in rows)
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == text
+    by = defaultdict(list)
+    for r in got:
+        by[r.shard].append(r)
+    assert set(by) <= set(range(16))
+    for mine in by.values():
+        assert sorted(r.slot for r in mine) == list(range(len(mine)))
+    if balance:
+        sizes = [sum(r.size for r in by[k]) for k in range(16)]
+        assert max(sizes) <= balance * sum(sizes) / 16 and min(sizes) >= (2 - balance) * sum(sizes) / 16
+    return by
+
+
+def _docs(n=4000, hot=False):
+    rnd = random.Random(6)
+    rows = []
+    for i in range(n):
+        text = "x" * int(rnd.lognormvariate(4, 1)) + str(i % 3500)
+        if hot and i % 3 == 0:
+            text = "the same text again and again " * 4
+        rows.append((i, text, rnd.choice(["en", "de", None]), "hot" if rnd.random() < 0.35 else f"s{rnd.randrange(9)}", "?"))
+    return rows
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_query(spark, tmp_path, hot):
+    rows = _docs(hot=hot)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, slot string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    got = op4_sharding(spark, str(tmp_path)).collect()
+    by = _check(rows, got, 1.04)
+    assert {r.law for r in got} == {"bytes"} and {r.grown_shard for r in got} == {None} and len(by) == 16
+    shards = defaultdict(set)
+    for r in got:
+        shards[r.text_crc32, r.size].add(r.shard)
+    apart = {k for k, v in shards.items() if len(v) > 1}
+    assert apart <= {(zlib.crc32(t.encode()), len(t) + 1) for t in ["the same text again and again " * 4]}
+
+
+def test_cuts_are_weighted_medians(spark):
+    rnd = random.Random(2)
+    points = [(1, rnd.getrandbits(62), rnd.randint(1, 50)) for _ in range(3000)] + [(2, 7, 10), (2, 9, 10)]
+    df = spark.createDataFrame(points, "node int, key long, bytes long")
+    total = sum(b for n, _, b in points if n == 1)
+    cuts = sharding._cuts(df, {1: ("by_size", total / 2), 2: ("by_size", 10.0)}, miss=0)
+    left = sum(b for n, k, b in points if n == 1 and k < cuts[1])
+    assert abs(left - total / 2) <= 25 and 7 < cuts[2] <= 9
+
+
+@pytest.mark.parametrize("shards", [1, 3, 16])
+def test_leaves_reach_the_target(spark, shards):
+    rows = _docs(2000)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, slot string")
+    sizes = {r.shard: r.n for r in sharding.shard(df, shards).groupBy("shard").agg(F.sum("size").alias("n")).collect()}
+    assert set(sizes) == set(range(shards))
+    assert max(sizes.values()) <= 1.08 * sum(sizes.values()) / shards
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None, None, None)], [(1, "a", "en", "s")] * 5, [(None, "", None, "s"), (2, "é" * 1000, "x", None)]])
+def test_edges(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    _check(rows, op4_sharding(spark, str(tmp_path)).collect(), None)
