@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, licenses, mixing, pii, quality, sharding, simhash, topk, toxicity, urls
 from .common import python_ready, table
+from .oracle import ORACLE_SQL as ORACLE_SQL
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,5 +82,3 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op3_urls": op3_urls, "op4_sharding": op4_sharding, "op5_quality": op5_quality, "op6_mixing": op6_mixing, "op7_topk": op7_topk, "op8_pii": op8_pii, "op9_licenses": op9_licenses, "op10_simhash": op10_simhash}
-
-ORACLE_SQL: dict[str, str] = {}
