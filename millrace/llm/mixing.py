@@ -44,6 +44,8 @@ MAX_REPEAT = 2
 #: Inclusion probabilities grow as the size to this power.
 POWER = 0.5
 SEED = 20_011
+#: Sums of sizes times their power are in units of 1 / PULL.
+PULL = 1024
 #: Ranks are integers of this many bits, looked at DIGIT bits at a time.
 RANK_BITS, DIGIT = 48, 12
 
@@ -93,14 +95,17 @@ def _targets(sized: DataFrame) -> DataFrame:
 
 def _uniform() -> Column:
     """Fixed by the id, size and source of a document; strictly between 0 and 1."""
-    h = F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("size"), F.col("source"))
-    return (F.pmod(h, F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    of = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("doc_id", "size", "source")]
+    digest = F.md5(F.concat_ws("|", F.lit(str(SEED)), *of))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
 def _factor(rows: DataFrame, power: float) -> DataFrame:
     """(s, f): min(1, f * size ** power) makes the expected words of a source's sample right."""
-    bin_ = F.floor(F.log2("size") * 4).cast("int")
-    bins = rows.where("size > 0").groupBy("s", bin_.alias("b")).agg(F.sum("size").alias("words"), F.sum(F.pow("size", F.lit(power)) * F.col("size")).alias("pull"))
+    doubling = F.length(F.bin("size")).alias("b")
+    # in integers, so that reruns agree to the last bit
+    pull = F.floor(F.pow("size", F.lit(power)) * PULL).cast("decimal(20,0)") * F.col("size")
+    bins = rows.where("size > 0").groupBy("s", doubling).agg(F.sum("size").alias("words"), F.sum(pull).cast("double").alias("pull"))
     rest = rows.groupBy("s").agg(F.max(F.col("part") * F.col("source_size")).alias("need"))
     # Documents of the upper bins have probability one; below them the factor is what is still needed over the pull.
     up = Window.partitionBy("s").orderBy(F.col("b").desc())
@@ -108,8 +113,8 @@ def _factor(rows: DataFrame, power: float) -> DataFrame:
     at = bins.join(rest.withColumnRenamed("s", "s_"), F.col("s").eqNullSafe(F.col("s_"))).select(
         "s", "b", "need",
         F.coalesce(F.sum("words").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("certain"),
-        F.sum("pull").over(down.rowsBetween(Window.unboundedPreceding, 0)).alias("pull"),
-        F.pow(F.lit(2.0), (F.col("b") + 1) / 4.0).alias("top"),
+        (F.sum("pull").over(down.rowsBetween(Window.unboundedPreceding, 0)) / PULL).alias("pull"),
+        F.pow(F.lit(2.0), "b").alias("top"),
     )
     f = (F.col("need") - F.col("certain")) / F.col("pull")
     fits = f * F.pow("top", F.lit(power)) <= 1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import topk, urls
+from . import mixing, topk, urls
 
 TOPK = f"""
 with v as (
@@ -65,4 +65,56 @@ def url_sql() -> str:
       from t join tree on t.host = tree.host and t.template = tree.template"""
 
 
-ORACLE_SQL = {"op3_urls": " ".join(url_sql().split()), "op7_topk": " ".join(TOPK.split())}
+_RANKS = (1 << mixing.RANK_BITS) - 1
+
+#: The sample by sorting ranks and running sums.
+MIXING = f"""
+with w as (select row_number() over () as n, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents),
+sources as (select source, sum(size)::bigint as source_size from w group by 1),
+ordered as (select *, row_number() over (order by source is null, encode(source)) - 1 as k from sources),
+weighed as (select *, [{', '.join(map(str, mixing.WEIGHTS))}][k % {len(mixing.WEIGHTS)} + 1] as weight from ordered),
+levels as (
+  select *, ({mixing.BUDGET} * sum(source_size) over () - {mixing.MAX_REPEAT} * coalesce(sum(source_size) over (o rows between unbounded preceding and 1 preceding), 0))::double
+            / sum(weight) over (o rows between current row and unbounded following) as level, row_number() over o as r
+  from weighed window o as (order by source_size / weight, k)
+),
+first_open as (select min(r) as r, arg_min(level, r) as level from levels where level * weight < {mixing.MAX_REPEAT} * source_size),
+targets as (
+  select l.source, l.source_size,
+    case when f.r is null or l.r < f.r then l.source_size * {float(mixing.MAX_REPEAT)}::double else f.level * l.weight end as target
+  from levels l cross join first_open f
+),
+d as (
+  select w.*, source_size, target, coalesce(floor(target / nullif(source_size, 0)), 0) as whole,
+    coalesce(target / nullif(source_size, 0) - floor(target / nullif(source_size, 0)), 0) as part
+  from w join targets t on w.source is not distinct from t.source
+),
+drawn as (select * from d where part > 0 and size > 0),
+bins as (
+  select source, length(bin(size)) as b, sum(size) as words, max(part * source_size) as need,
+    sum(floor(pow(size, {mixing.POWER}) * {mixing.PULL})::hugeint * size)::double as pull from drawn group by all
+),
+steps as (
+  select source, pow(2.0, b) as top,
+    (need - coalesce(sum(words) over (partition by source order by b desc rows between unbounded preceding and 1 preceding), 0))
+    / (sum(pull) over (partition by source order by b) / {mixing.PULL}) as f from bins
+),
+factors as (
+  select source, coalesce(max(f) filter (f * pow(top, {mixing.POWER}) <= 1 and f >= 0), max(f) filter (f >= 0), 0) as f from steps group by 1
+),
+ranked as (
+  select d.*, (('0x' || substr(md5(concat_ws('|', '{mixing.SEED}', coalesce(doc_id::varchar, '-'), size::varchar, coalesce(d.source, '-'))), 1, 13))::bigint + 0.5)
+      / {float(1 << 52)}::double as u, least(greatest(f * pow(size, {mixing.POWER}), 1e-9), 1 - 1e-9) as p
+  from drawn d join factors x on d.source is not distinct from x.source
+),
+odds as (select *, (u / (1 - u)) / (p / (1 - p)) as o from ranked),
+ranks as (select n, source, size, part * source_size as need, floor(o / (1 + o) * {_RANKS}::double)::bigint as rank from odds),
+sums as (
+  select source, rank, sum(size) as words, max(need) as need, sum(sum(size)) over (partition by source order by rank) as upto from ranks group by source, rank
+),
+taken_ranks as (select source, rank from sums where upto < need or (upto - words < need and (need - (upto - words)) * 2 >= words)),
+extra as (select n from ranks r join taken_ranks t on r.source is not distinct from t.source and r.rank = t.rank)
+select doc_id, size, source_size, target, ((whole + (extra.n is not null)::int) * size)::bigint as taken from d left join extra on d.n = extra.n
+"""
+
+ORACLE_SQL = {"op6_mixing": " ".join(MIXING.split()), "op3_urls": " ".join(url_sql().split()), "op7_topk": " ".join(TOPK.split())}
