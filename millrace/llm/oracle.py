@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, topk, urls
+from . import mixing, quality, topk, urls
 
 TOPK = f"""
 with v as (
@@ -117,4 +117,88 @@ extra as (select n from ranks r join taken_ranks t on r.source is not distinct f
 select doc_id, size, source_size, target, ((whole + (extra.n is not null)::int) * size)::bigint as taken from d left join extra on d.n = extra.n
 """
 
-ORACLE_SQL = {"op6_mixing": " ".join(MIXING.split()), "op3_urls": " ".join(url_sql().split()), "op7_topk": " ".join(TOPK.split())}
+def quality_sql() -> str:
+    """Counts by unnesting words; the concentration steps one after another over the statistics."""
+    names, p = list(quality.FEATURES), len(quality.FEATURES)
+    floor = [(quality.FEATURES[k] * quality.SCALE) ** 2 for k in names]
+    word = r"[^\x20\x09-\x0D]"
+    cells = [(i, j) for i in range(p) for j in range(i + 1)]
+
+    def share(a: str, b: str) -> str:
+        return f"sqrt(least({a} / greatest({b}, 1)::double, 1.0::double))"
+
+    values = [
+        "ln(greatest(word_chars / greatest(n_words, 1)::double, 1.0::double))", share("n_symbols", "word_chars"), share("n_capitals", "word_chars"),
+        share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words"), share("n_doubles", "n_words"),
+    ]
+    tag = lambda c: f"coalesce(length({c}) || ':' || {c}, '-')"
+    steps = [
+        f"""d as (select row_number() over () as n, doc_id, lang, source, coalesce(text, '') as text,
+              regexp_extract_all(coalesce(text, ''), '{word}+') as w,
+              list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{word}')) as lines from documents)""",
+        "words as (select n, unnest(w) as x, generate_subscripts(w, 1) as i from d)",
+        """around as (select n, i, x, lag(x) over o as before, lead(x, 1) over o as x1, lead(x, 2) over o as x2 from words window o as (partition by n order by i))""",
+        "windows as (select n, i, count(*) over (partition by n, x, x1, x2) as k from around where x2 is not null)",
+        "covered as (select n, count(distinct i + j) as n_repeat_words from windows, range(3) r(j) where k > 1 group by 1)",
+        "doubled as (select n, count(*) as n_doubles from around where x = before group by 1)",
+        r"""counts as (select d.n, doc_id, lang, source, len(w) as n_words, length(array_to_string(w, '')) as word_chars,
+              length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols, len(regexp_extract_all(text, '\\p{Lu}')) as n_capitals,
+              len(lines) as n_lines, len(lines) - len(list_distinct(lines)) as n_dup_lines,
+              coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_doubles, 0) as n_doubles
+              from d left join covered using (n) left join doubled using (n))""".replace("\\\\", "\\"),
+        f"""stats as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+              {", ".join(f"round({v} * {quality.SCALE})::bigint as x_{i}" for i, v in enumerate(values))} from counts)""",
+        "own as (select lang, source, count(*) as c from stats where not base_failed group by all)",
+        f"by_lang as (select lang, sum(c) as c from own where c < {quality.MIN_ROWS} group by 1)",
+        f"rest as (select coalesce(sum(c), 0) as c from by_lang where c < {quality.MIN_ROWS})",
+        f"""kinds as (select own.lang, own.source, case when own.c >= {quality.MIN_ROWS} then {tag("own.lang")} || '/' || {tag("own.source")}
+              when b.c >= {quality.MIN_ROWS} then {tag("own.lang")} || '/*' when rest.c >= {quality.MIN_ROWS} then '*' end as kind
+              from own left join by_lang b on own.lang is not distinct from b.lang cross join rest)""",
+        "s as (select stats.*, kind from stats left join kinds k on stats.lang is not distinct from k.lang and stats.source is not distinct from k.source)",
+        "usable as (select * from s where not base_failed and kind is not null)",
+        f"""e0 as (select kind, {", ".join(f"quantile_cont(x_{i}, 0.5) as m_{i}" for i in range(p))},
+              {", ".join(f"greatest((quantile_cont(x_{i}, 0.75) - quantile_cont(x_{i}, 0.25)) / 1.349, {floor[i] ** 0.5}::double) as l_{i}_{j}" if i == j else f"0.0::double as l_{i}_{j}" for i, j in cells)}
+              from usable group by 1)""",
+    ]
+
+    def distances(rows: str, estimate: str, kind: str) -> str:
+        back = lambda i: "".join(f" - l_{i}_{k} * y_{k}" for k in range(i))
+        ys = ", ".join(f"(x_{i} - m_{i}{back(i)}) / l_{i}_{i} as y_{i}" for i in range(p))
+        return f"select {rows}.*, {ys}, {' + '.join(f'y_{i} * y_{i}' for i in range(p))} as d2 from {rows} {kind} join {estimate} using (kind)"
+
+    def bin_of(d2: str) -> str:
+        return f"least(floor(log2({d2} + 1) * {quality.BINS}), 2000)"
+
+    def refit(name: str, source: str, part: float, limit: float | None) -> None:
+        if limit is None:
+            close = f"""select * exclude (bin, ahead, total) from (select *, sum(n) over (partition by kind) as total,
+              coalesce(sum(n) over (partition by kind order by bin rows between unbounded preceding and 1 preceding), 0) as ahead from {name}b) where ahead < total * {part}"""
+        else:
+            close = f"select * exclude (bin) from {name}b where bin <= {bin_of(f'{limit}::double')}"
+        sums = ", ".join([*(f"sum(x_{i}) as s_{i}" for i in range(p)), *(f"sum(x_{i} * x_{j}) as s_{i}_{j}" for i, j in cells)])
+        again = ", ".join([*(f"sum(s_{i})::double as s_{i}" for i in range(p)), *(f"sum(s_{i}_{j})::double as s_{i}_{j}" for i, j in cells)])
+        steps.append(f"{name}d as ({distances('usable', source, '')})")
+        steps.append(f"{name}b as (select kind, {bin_of('d2')} as bin, count(*) as n, {sums} from {name}d group by all)")
+        steps.append(f"{name}m as (select kind, sum(n)::double as n, {again} from ({close}) group by 1)")
+        scale = quality.consistency(part, p)
+        columns = [f"s_{i} / n as m_{i}" for i in range(p)]
+        for i, j in cells:
+            raw = f"s_{i}_{j} / n - (s_{i} / n) * (s_{j} / n)"
+            columns.append(f"greatest({raw}, 0) * {scale}::double + {floor[i]}::double as c_{i}_{j}" if i == j else f"({raw}) * {scale}::double as c_{i}_{j}")
+        for j in range(p):
+            dot = lambda i, j=j: "".join(f" - l_{i}_{k} * l_{j}_{k}" for k in range(j))
+            columns.append(f"sqrt(greatest(c_{j}_{j}{dot(j)}, {floor[j] * 0.01}::double)) as l_{j}_{j}")
+            columns += [f"(c_{i}_{j}{dot(i)}) / l_{j}_{j} as l_{i}_{j}" for i in range(j + 1, p)]
+        kept = ", ".join([*(f"m_{i}" for i in range(p)), *(f"l_{i}_{j}" for i, j in cells)])
+        steps.append(f"{name} as (select kind, {kept} from (select kind, {', '.join(columns)} from {name}m))")
+
+    for k in range(quality.STEPS):
+        refit(f"e{k + 1}", f"e{k}", quality.SUBSET, None)
+    refit("final", f"e{quality.STEPS}", quality.REWEIGHT, quality.chi2_quantile(quality.REWEIGHT, p))
+    steps.append(f"judged as ({distances('s', 'final', 'left')})")
+    return f"""with {", ".join(f"{x.split(' as ', 1)[0].strip()} as materialized {x.split(' as ', 1)[1]}" for x in steps)}
+      select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines,
+        n_repeat_words::bigint as n_repeat_words, base_failed, not base_failed and not coalesce(d2 > {quality.chi2_quantile(1 - quality.TAIL, p)}, false) as kept from judged"""
+
+
+ORACLE_SQL = {"op5_quality": " ".join(quality_sql().split()), "op6_mixing": " ".join(MIXING.split()), "op3_urls": " ".join(url_sql().split()), "op7_topk": " ".join(TOPK.split())}
