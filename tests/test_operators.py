@@ -170,6 +170,36 @@ def test_incremental_files(spark, tmp_path):
     assert sorted(r[0] for r in spark.read.parquet(out).collect()) == list(range(0, 20, 2))
 
 
+def test_settled_tables_go_when_nothing_reads_them(spark, tmp_path, monkeypatch):
+    import gc
+    import time
+    from pathlib import Path
+
+    from millrace import storage
+
+    monkeypatch.setattr(storage, "shared_dir", lambda spark: str(tmp_path / "shared"))
+    kept, gone = storage.settle(spark.range(5)), storage.settle(spark.range(7))
+    derived = kept.where("id > 1").join(kept.select("id"), "id")
+    assert gone.count() == 7 and len(list(Path(tmp_path / "shared").iterdir())) == 2
+    del kept, gone
+    for _ in range(20):  # Spark's listeners let go of the last job a little later
+        gc.collect()
+        spark.range(3).count()
+        spark.sparkContext._jvm.System.gc()
+        storage.sweep()
+        if len(list(Path(tmp_path / "shared").iterdir())) == 1:
+            break
+        time.sleep(0.2)
+    assert len(list(Path(tmp_path / "shared").iterdir())) == 1 and derived.count() == 3
+
+
+def test_a_shared_folder_where_none_is_set(spark, monkeypatch):
+    from millrace import storage
+
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default)
+    assert storage.shared_dir(spark) == storage.shared_dir(spark)
+
+
 def test_llm_is_optional(tmp_path):
     """Without the subpackage and the pipeline the entry module still has the other queries."""
     import shutil
