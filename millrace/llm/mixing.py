@@ -146,16 +146,21 @@ def _cuts(rows: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, power: float = POWER, keep_row: bool = False) -> DataFrame:
-    """doc_id, size, source, source_size, target and taken of every row; ``row``, the whole input row, on request."""
+    """doc_id, size, source, source_size, target and taken of every row; ``row``, the whole input row, on request.
+
+    With rows, words are counted once more at the end, so that no copy of the texts is written.
+    """
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size")
-    own = [F.struct(*docs.columns).alias("row")] if keep_row else []
-    sized = settle(docs.select("doc_id", "source", size, *own))
+    sized = settle(docs.select("doc_id", "source", size))
     of = F.col("source").eqNullSafe(F.col("s"))
     targets = _targets(sized)
-    at = lookup(sized, targets, of).drop("s")
     copies = F.coalesce(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size")), F.lit(0.0))
     whole = F.floor(copies)
-    at = at.select(*at.columns, whole.alias("whole"), (copies - whole).alias("part"))
+
+    def aimed(rows: DataFrame) -> DataFrame:
+        return lookup(rows, targets, of).drop("s").select("*", whole.alias("whole"), (copies - whole).alias("part"))
+
+    at = aimed(sized)
     drawn = at.where("part > 0 and size > 0").select(F.col("source").alias("s"), "doc_id", "source", "size", "part", "source_size")
     factor = _factor(drawn, power).select(F.col("s").alias("s2"), "f")
     p = F.least(F.greatest(F.col("f") * F.pow("size", F.lit(power)), F.lit(1e-9)), F.lit(1 - 1e-9))
@@ -165,6 +170,8 @@ def mix(docs: DataFrame, power: float = POWER, keep_row: bool = False) -> DataFr
     rank = F.floor(odds / (1 + odds) * float((1 << RANK_BITS) - 1)).cast("long").alias("rank")
     ranked = lookup(drawn, factor, F.col("s").eqNullSafe(F.col("s2"))).select("s", "size", rank, (F.col("part") * F.col("source_size")).alias("need"))
     cuts = _cuts(ranked)
+    if keep_row:
+        at = aimed(docs.select("doc_id", "source", size, F.struct(*docs.columns).alias("row")))
     out = lookup(lookup(at, factor, F.col("source").eqNullSafe(F.col("s2"))), cuts, F.col("source").eqNullSafe(F.col("t")))
     extra = F.coalesce((F.col("part") > 0) & (rank < F.col("cut")), F.lit(False)).cast("long")
     times = F.when(F.col("size") > 0, F.col("whole") + extra).otherwise(F.lit(0))

@@ -239,18 +239,23 @@ def minimum_covariance(stats: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, keep_row: bool = False) -> DataFrame:
-    """The statistics of every row with d2 and ``kept``; ``row``, the whole input row, on request."""
-    stats = settle(with_statistics(docs, keep_row))
+    """The statistics of every row with d2 and ``kept``; ``row``, the whole input row, on request.
+
+    With rows, the statistics are taken once more from ``docs`` at the end, so that no copy of the texts is written.
+    """
+    stats = settle(with_statistics(docs))
     kinds = _kinds(stats).select(F.col("lang").alias("l"), F.col("source").alias("s"), "kind")
-    narrow = stats.drop("row", "doc_id")
+    narrow = stats.drop("doc_id")
     of = F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))
     usable = settle(lookup(narrow, kinds, of).where("not base_failed and kind is not null").select("kind", *[f"x_{k}" for k in _NAMES]))
     estimates = minimum_covariance(usable)
-    at = _distances(lookup(stats, kinds, of).drop("l", "s"), estimates)
+    at = _distances(lookup(with_statistics(docs, True) if keep_row else stats, kinds, of).drop("l", "s"), estimates)
     far = F.coalesce(F.col("d2") > chi2_quantile(1 - TAIL, _P), F.lit(False))
     return at.withColumn("kept", ~F.col("base_failed") & ~far)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept."""
-    return judge(docs, keep_row=True).where("kept").select("row.*")
+    # Not deterministic in form, so that the optimizer doesn't move the filter, with all that it is made of, below its steps.
+    kept = F.col("kept") & (F.monotonically_increasing_id() >= 0)
+    return judge(docs, keep_row=True).select("row", kept.alias("kept")).where("kept").select("row.*")

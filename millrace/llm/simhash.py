@@ -262,4 +262,5 @@ def deduplicate(docs: DataFrame, shingle: int = 3) -> DataFrame:
     ids = rows.select("doc_id", "fp", "rid")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("m")
     stay = settle(ids.join(classes(ids).select("fp", "root"), "fp").groupBy("root").agg(first).select("m.rid"))
-    return rows.join(stay, "rid", "left_semi").select("row.*")
+    # by a shuffle at every size: which rows stay is as many as the documents
+    return rows.join(stay.hint("merge"), "rid", "left_semi").select("row.*")
