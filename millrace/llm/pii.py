@@ -9,9 +9,10 @@ the two over documents, as a part of the entity's information content,
     log(N * n(e, t) / (n(e) * n(t))) / log(N / n(e)),
 
 1 where the term never occurs without the entity.  Pairs count only with
-``SUPPORT`` effective contexts: the words on either side of the term, counted
-by the inverse of the chance that two documents share them.  So copies of one
-text prove nothing, nor do copies with a few words changed.  From
+``SUPPORT`` contexts: documents whose fingerprints (64-bit SimHash of word
+pairs) are more than ``ALIKE`` bits apart from each other.  So copies of one
+text prove nothing, nor do copies with a few words changed, and however many
+copies are added, they take no context away.  From
 ``GENERALISE`` on, occurrences of the term near the entity are generalised;
 from ``REMOVE`` on they are removed.
 
@@ -34,6 +35,8 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
+from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -42,13 +45,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import lookup, python_ready, settle
+from .simhash import fingerprint
 
 #: Kinds in the order in which spans with the same start are listed.
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Terms are looked for so many words before and after an entity, at most so many characters away.
 WINDOW, REACH = 5, 120
-#: Effective contexts that a pair needs, and the disclosures from which its terms are generalised or removed.
+#: Contexts that a pair needs, and the disclosures from which its terms are generalised or removed.
 SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
+#: Texts whose fingerprints differ in so many bits at most are near copies (others differ in about 32).
+ALIKE = 20
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -128,6 +134,8 @@ _PA_NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()),
 def _terms_near(text: str, spans: list[tuple[int, int, str]]) -> list[dict[str, object]]:
     out = []
     starts = [s for s, _, _ in spans]
+    context = fingerprint(text, 2)
+    context -= (context >> 63) << 64
 
     def inside(x: int, y: int) -> bool:
         k = bisect_left(starts, y)
@@ -136,11 +144,9 @@ def _terms_near(text: str, spans: list[tuple[int, int, str]]) -> list[dict[str,
     for a, b, kind in spans:
         entity = _hash(f"{kind}:{text[a:b].lower()}")
         for words in _around(text, a, b):
-            said = ["", *(text[x:y] for x, y in words), ""]
-            for k, (x, y) in enumerate(words[:WINDOW], 1):
+            for x, y in words[:WINDOW]:
                 if not inside(x, y):
-                    context = _hash(f"{said[k - 1]} {said[k + 1]}".lower())
-                    out.append({"entity": entity, "context": context, "term": said[k], "start": x, "end": y})
+                    out.append({"entity": entity, "context": context, "term": text[x:y], "start": x, "end": y})
     return out
 
 
@@ -155,13 +161,32 @@ def _find(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(spans, _PA_SPAN), pa.array(near, _PA_NEAR)], names=["spans", "near"])
 
 
+def _supported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (entity, term, context, docs) in order: (entity, term, n_pair) of the pairs with ``SUPPORT`` contexts."""
+    pair: tuple[int, str] | None = None
+    apart: list[int] = []
+    n = 0
+    for batch in chain(batches, [None]):
+        rows = zip(*(batch.column(c).to_pylist() for c in ("entity", "term", "context", "docs")), strict=True) if batch else [(None, None, 0, 0)]
+        out: list[tuple[int, str, int]] = []
+        for entity, term, context, docs in rows:
+            if (entity, term) != pair:
+                if len(apart) >= SUPPORT:
+                    out.append((*pair, n))
+                pair, apart, n = (entity, term), [], 0
+            n += docs
+            if len(apart) < SUPPORT and all(((context ^ other) & (2**64 - 1)).bit_count() > ALIKE for other in apart):
+                apart.append(context)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["entity", "term", "n_pair"])
+
+
 def disclosures(found: DataFrame, texts: DataFrame) -> DataFrame:
     """(entity, term, disclosure) of the pairs that reach ``GENERALISE``; found has rid and near, texts all texts."""
     near = found.select("rid", F.explode("near").alias("n")).select("rid", "n.entity", "n.context", "n.term")
     pairs = near.groupBy("entity", "term", "context").agg(F.count_distinct("rid").alias("docs"))
-    docs = F.col("docs").cast("double")
-    pairs = pairs.groupBy("entity", "term").agg((F.sum(docs) * F.sum(docs) / F.sum(docs * docs)).alias("contexts"), F.sum("docs").alias("n_pair"))
-    pairs = settle(pairs.where(F.col("contexts") >= SUPPORT))
+    ordered = pairs.repartition("entity", "term").sortWithinPartitions("entity", "term", "context")
+    pairs = settle(ordered.mapInArrow(_supported, "entity long, term string, n_pair long"))
     n = texts.count()
     seen = near.select("rid", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     close = near.select("rid", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_close"))

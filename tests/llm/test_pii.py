@@ -115,6 +115,24 @@ def test_disclosures_are_those_of_plain_counts(spark):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_copies_take_no_evidence_away(spark):
+    """A name beside an address in 30 texts, one of which has 1,000 copies, also with changed words; a term of the copies alone proves nothing."""
+    rnd = random.Random(9)
+    filler = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    say = lambda n: [rnd.choice(filler) for _ in range(n)]
+    texts = [" ".join([*say(40), "Quorn", *say(1), "zq@mail.example.org", *say(40)]) for _ in range(30)]
+    copied = [*say(60), "rareterm", "one@copy.example.com", *say(60)]
+    for _ in range(300):
+        near = list(copied)
+        for at in rnd.sample([k for k in range(122) if k not in (60, 61)], 6):
+            near[at] = rnd.choice(filler)
+        texts.append(" ".join(near))
+    texts += [texts[0]] * 1000 + [" ".join(say(60)) for _ in range(2000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    told = Counter(texts[r.doc_id][t.start : t.end] for r in pii.find(df).collect() for t in r.terms)
+    assert told == {"Quorn": 1030}
+
+
 def test_rewriting():
     spans = [{"start": 3, "end": 8, "kind": "email"}, {"start": 6, "end": 10, "kind": "ip"}]
     assert pii.rewrite("ab 12345678 cd", spans, []) == "ab <EMAIL>8 cd"
