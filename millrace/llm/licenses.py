@@ -4,16 +4,16 @@ Texts and templates are normalised to lower-case words of letters and digits.
 A passage's likeness to a template is the Dice coefficient of their multisets
 of word bigrams, ``2 |A and B| / (|A| + |B|)``.
 
-Where a passage may begin and end isn't known, so every bigram that a text
-shares with a template votes for the place where the template would begin.
-A place with votes enough to reach the threshold is looked at: passages that
-begin or end at a shared bigram near it are compared, and the best counts.
-Sizes prune: a passage of ``n`` bigrams can reach the threshold ``t`` against a
-template of ``m`` only if ``t / (2 - t) <= n / m <= (2 - t) / t``; a text below
-the lower bound skips the template, and passages outside it are never built.
+Where a passage may begin and end isn't known.  The best one begins and ends at
+a bigram that the text shares with the template, as any other gains by leaving
+its ends out.  Dice ``t`` against a template of ``m`` bigrams bounds a passage
+to ``t / (2 - t) * m`` shared bigrams at least and ``(2 - t) / t * m`` bigrams
+at most, so only shared bigrams that enough others follow within that length
+can begin one; from each of them every end is tried, the overlap being kept up
+to date.  No passage that reaches the threshold is left out.
 
-Scale: one pass without a shuffle, linear in the text: one table lookup per
-bigram, and work in proportion to the votes.
+Scale: one pass without a shuffle: one table lookup per bigram, and work in
+proportion to the shared bigrams times the template's length.
 
 Defined cases: a null text counts as empty and has no licence; equal scores go
 to the template listed first; repeated rows are scanned alike; an empty table
@@ -107,53 +107,51 @@ class Scanner:
         self.threshold = threshold
         self.least, self.most = threshold / (2 - threshold), (2 - threshold) / threshold
         self.texts = [(name, normalised(t)) for name, notices in templates.items() for t in notices]
-        self.index: dict[tuple[str, str], list[tuple[int, int]]] = defaultdict(list)
-        for k, (_, words) in enumerate(self.texts):
-            for place, pair in enumerate(zip(words, words[1:], strict=False)):
-                self.index[pair].append((k, place))
+        self.bags = [Counter(zip(words, words[1:], strict=False)) for _, words in self.texts]
+        self.index: dict[tuple[str, str], list[int]] = defaultdict(list)
+        for k, bag in enumerate(self.bags):
+            for pair in bag:
+                self.index[pair].append(k)
         self.index = dict(self.index)
 
     def scan(self, text: str | None) -> list[tuple[str, float]]:
         """(licence, likeness) of the licences found, the likest first."""
         words = normalised(text)
-        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        hits: dict[int, list[tuple[int, tuple[str, str]]]] = defaultdict(list)
         known = self.index
         for at, pair in enumerate(zip(words, words[1:], strict=False)):
             if pair in known:
-                for k, place in known[pair]:
-                    hits[k].append((at - place, at))
+                for k in known[pair]:
+                    hits[k].append((at, pair))
         best: dict[str, float] = {}
         for k, found in hits.items():
             name, template = self.texts[k]
             m = len(template) - 1
-            if len(words) - 1 < self.least * m or len(found) < self.threshold * self.least * m / 2:
+            if len(found) < self.least * m - 1e-9:
                 continue
-            score = self._best(words, template, m, sorted(found))
+            score = self._best(self.bags[k], m, found)
             if score >= self.threshold:
                 best[name] = max(best.get(name, 0.0), score)
         order = {name: i for i, (name, _) in enumerate(self.texts)}
         return sorted(best.items(), key=lambda x: (-x[1], order[x[0]]))
 
-    def _best(self, words: list[str], template: list[str], m: int, found: list[tuple[int, int]]) -> float:
-        """The best likeness of a passage around places that enough shared bigrams vote for."""
-        slack = int(m * (self.most - 1)) + 1  # words that may be missing or added before a bigram
-        best, i = 0.0, 0
-        while i < len(found):
-            j = i
-            while j + 1 < len(found) and found[j + 1][0] - found[j][0] <= slack and found[j + 1][0] - found[i][0] <= 2 * slack:
-                j += 1
-            votes = found[i : j + 1]
-            # Dice >= t with n >= least * m bigrams needs so many shared ones
-            if len({at for _, at in votes}) >= self.threshold * (1 + self.least) * m / 2:
-                places = sorted({at for _, at in votes})
-                votes_for = Counter(s for s, _ in votes).most_common(3)
-                tries = {(max(0, s), min(len(words), s + m + 1)) for s, _ in votes_for}
-                tries |= {(a, b + 2) for a in places[:3] for b in places[-3:] if b > a}
-                for a, b in tries:
-                    n = b - a - 1
-                    if self.least * m <= n <= self.most * m:
-                        best = max(best, dice(words[a:b], template))
-            i = j + 1
+    def _best(self, bag: Counter[tuple[str, str]], m: int, found: list[tuple[int, tuple[str, str]]]) -> float:
+        """The best likeness of a passage between two of the shared bigrams (place, bigram), in order; below the threshold any value."""
+        best, end = 0.0, 0
+        for i, (start, _) in enumerate(found):
+            while end < len(found) and found[end][0] - start + 1 <= self.most * m + 1e-9:
+                end += 1
+            # Dice >= t needs so many shared bigrams
+            if end - i < self.least * m - 1e-9:
+                continue
+            left, shared = dict(bag), 0
+            for at, pair in found[i:end]:
+                if left[pair]:
+                    left[pair] -= 1
+                    shared += 1
+                    best = max(best, 2 * shared / (at - start + 1 + m))
+            if best == 1.0:
+                break
         return best
 
 

@@ -72,6 +72,29 @@ def test_short_notice_against_every_passage(scanner):
         assert all(v >= licenses.THRESHOLD for v in found.values())
 
 
+def test_long_insertions_against_every_passage(scanner):
+    """Words inserted in the middle of a notice, alone and inside prose with stray bigrams of it."""
+    rnd = random.Random(11)
+    prose = [*"the words of the day in the house and of the people".split(), *(f"p{k}" for k in range(20))]
+    for name, inserted in (("MIT", 30), ("MIT", 40), ("MIT", 50), ("GPL-3.0", 15), ("MPL-2.0", 12), ("Apache-2.0", 40)):
+        notice = licenses.normalised(licenses.TEMPLATES[name][0])
+        middle = len(notice) // 2
+        for around in (0, 60):
+            own = notice[:middle] + rnd.choices(prose, k=inserted) + notice[middle:]
+            words = rnd.choices(prose, k=around) + own + rnd.choices(prose, k=around)
+            want = 0.0
+            for bag in (scanner.bags[k] for k, (n, _) in enumerate(scanner.texts) if n == name):
+                for a in range(len(words) - 1):  # every passage, its overlap grown word by word
+                    left, shared = dict(bag), 0
+                    for b in range(a, len(words) - 1):
+                        if left.get(pair := (words[b], words[b + 1]), 0):
+                            left[pair] -= 1
+                            shared += 1
+                        want = max(want, 2 * shared / (b - a + 1 + bag.total()))
+            assert want >= licenses.dice(own, notice) >= licenses.THRESHOLD
+            assert dict(scanner.scan(" ".join(words)))[name] == pytest.approx(want, abs=1e-12)
+
+
 def test_query(spark, tmp_path):
     rows = [(1, "x y\nReleased under the MIT License.", "q"), (2, None, "q"), (3, "", "q"), (1, "x y\nReleased under the MIT License.", "q"), (None, "Licensed under CC BY-NC 4.0.", "q")]
     spark.createDataFrame(rows, "doc_id long, text string, licence string").write.parquet(str(tmp_path / "documents.parquet"))
