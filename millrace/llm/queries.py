@@ -57,10 +57,12 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s.kind.isin(*pii.BASE))
     return found.select(
-        "doc_id", *[count(k) for k in ("email", "ip", "card", "phone")],
-        F.sha2(pii.listed(F.col("spans")), 256).alias("base_sha256"),
+        "doc_id", *[count(k) for k in pii.BASE],
+        F.sha2(pii.listed(base), 256).alias("base_sha256"),
         pii.listed(pii.all_spans(F.col("spans"), F.col("terms"))).alias("spans"),
+        count("secret"), F.size("terms").cast("long").alias("n_term"), (F.size("spans") + F.size("terms")).cast("long").alias("n_spans"),
     )
 
 
