@@ -6,8 +6,10 @@ all of them.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +58,18 @@ class Reduce:
     def n_unique(col: str, dest: str) -> Column:
         return Agg.n_unique(col, dest)
 
+    @staticmethod
+    def udf(part: Callable[[pd.DataFrame], pd.DataFrame], schema: str, whole: Column, dest: str) -> Callable[[dict[str, Any], DataFrame], None]:
+        """Opaque Python in two phases: ``part`` makes rows of ``schema`` of each batch, ``whole`` is the aggregate of those rows."""
+
+        def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            yield from map(part, batches)
+
+        def reducer(data: dict[str, Any], frame: DataFrame) -> None:
+            data[dest] = frame.mapInPandas(parts, schema).agg(whole)
+
+        return reducer
+
 
 class Transform:
     """Values of a whole partition (``over``) added to each of its rows."""

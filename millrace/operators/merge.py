@@ -1,8 +1,9 @@
 """Merges: inner join, semi-join and concatenation.
 
-How a side is moved is left to Catalyst and adaptive execution.  A caller who
-asks for a replicated side gets a broadcast only while the planner's estimate of
-it is within ``BROADCAST_BYTES``; a larger one is joined by a shuffle.
+How a side is moved is left to Catalyst and adaptive execution, unless the
+caller asks.  A side asked for by key is shuffled, as the other one is.  A side
+asked to be replicated is broadcast only while the planner's estimate of it is
+within ``BROADCAST_BYTES``; a larger one is joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ MergeStep = Callable[[Slots], Slots]
 class MergePattern(Enum):
     """How the other side of a merge is brought together with this one."""
 
+    AUTO = "auto"  # as the planner sees fit
     PARTIAL = "partial"  # by key
     ALL = "all"  # whole, to every task
 
@@ -32,10 +34,13 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def moved(df: DataFrame, pattern: MergePattern) -> DataFrame:
+def moved(df: DataFrame, pattern: MergePattern, on: str, fanout: int | None = None) -> DataFrame:
+    """The other side of a merge, marked with how it is to be moved; ``fanout`` is the width of its exchange."""
     if pattern is MergePattern.ALL and estimated_bytes(df) <= BROADCAST_BYTES:
         return F.broadcast(df)
-    return df.hint("merge") if pattern is MergePattern.ALL else df
+    if fanout:
+        df = df.repartition(fanout, on)
+    return df if pattern is MergePattern.AUTO and not fanout else df.hint("merge")
 
 
 def join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, suffix: str = "_right") -> DataFrame:

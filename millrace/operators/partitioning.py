@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 SYMBOLS, FIRST, PLACES = 95, 32, 8
 
 
-def _keys(by: str | list[str], descending: bool) -> list[Column]:
+def ordering(by: str | list[str], descending: bool = False) -> list[Column]:
+    """Nulls last, or first when descending."""
     names = [by] if isinstance(by, str) else by
     return [F.col(c).desc_nulls_first() if descending else F.col(c).asc_nulls_last() for c in names]
 
 
 def order_by(df: DataFrame, by: str | list[str], descending: bool = False) -> DataFrame:
     """Global order: nulls last, or first when descending."""
-    return df.orderBy(*_keys(by, descending))
+    return df.orderBy(*ordering(by, descending))
 
 
 def hash_partition(df: DataFrame, by: str, n: int) -> DataFrame:
@@ -24,7 +25,7 @@ def hash_partition(df: DataFrame, by: str, n: int) -> DataFrame:
 
 
 def range_partition(df: DataFrame, by: str, n: int, descending: bool = False) -> DataFrame:
-    return df.repartitionByRange(n, *_keys(by, descending))
+    return df.repartitionByRange(n, *ordering(by, descending))
 
 
 def range_bounds(df: DataFrame, by: str, n: int, error: float = 0.001) -> DataFrame:

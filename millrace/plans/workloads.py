@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import Agg, Cast, Condition, Ops, Reduce, Transform
-from ..operators import Merge, MergePattern, hash_partition, key_partition, range_bounds, range_partition, remap_partition
+from ..operators import Merge, MergePattern, hash_partition, key_partition, range_partition, remap_partition
 from ..sources import generate
 from ..storage import scratch
 from .frame import Frame, MergeSource, purge, switch
@@ -97,20 +97,21 @@ def csv_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, target = scratch(spark, "csv"), scratch(spark, "sorted")
     items = _table(spark, sf_dir, "lineitem").select(["l_orderkey", "l_linenumber", "l_extendedprice"])
     items.df.withColumn("end", F.lit(None).cast("string")).write.option("sep", "|").csv(path)
-    rows = Frame.from_csv(spark, path, "l_orderkey long, l_linenumber int, l_extendedprice double", has_header=False, separator="|")
+    rows = Frame.from_csv(spark, path, "l_orderkey long, l_linenumber int, l_extendedprice double", has_header=False, separator="|", trailing_separator=True)
     rows.sort(["l_extendedprice", "l_orderkey", "l_linenumber"]).write(target)
     return _numbered(spark, target)
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """Rows with ``pos``: their place in a table written in order, counted by file."""
-    rows = spark.read.parquet(path).select("*", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.monotonically_increasing_id().alias("rid"))
-    from pyspark.sql import Window
+    """Rows with ``pos``: their place in a table written in order, counted by file.
 
+    There is a row for each file, not for each row, in the one window that isn't split.
+    """
+    rows = spark.read.parquet(path).select("*", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.monotonically_increasing_id().alias("rid"))
     counts = rows.groupBy("file").count()
     before = counts.select("file", F.coalesce(F.sum("count").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     own = F.row_number().over(Window.partitionBy("file").orderBy("rid"))
-    return rows.withColumn("own", own).join(F.broadcast(before), "file").withColumn("pos", (F.col("before") + F.col("own")).cast("bigint")).drop("file", "rid", "own", "before")
+    return rows.withColumn("own", own).join(before, "file").withColumn("pos", (F.col("before") + F.col("own")).cast("bigint")).drop("file", "rid", "own", "before")
 
 
 @_query("generate_join_group", "select k, count(distinct v) as u, sum(w)::bigint as s from (select i % 7 k, i v from range(40) t(i)) a join (select j % 7 k2, j w from range(60) t(j)) b on k = k2 group by 1")
@@ -145,7 +146,7 @@ def scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "csv")
     rows = _table(spark, sf_dir, "orders").df.select("o_orderkey", "o_orderpriority", "o_totalprice", F.lit(None).cast("string").alias("end"))
     rows.write.option("sep", "|").csv(path)
-    return Frame.from_csv(spark, path, "o_orderkey long, o_orderpriority string, o_totalprice double", has_header=False, separator="|").df
+    return Frame.from_csv(spark, path, "o_orderkey long, o_orderpriority string, o_totalprice double", has_header=False, separator="|", trailing_separator=True).df
 
 
 def _write_records(spark: SparkSession, sf_dir: str) -> str:
@@ -316,11 +317,12 @@ def group_flag_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "lineitem").groupby("l_orderkey", Agg.n_unique("l_suppkey", "u"), steps).df
 
 
-@_query("two_phase_agg", "select l_orderkey, sum(l_quantity) as q from lineitem group by 1")
+@_query("two_phase_agg", "select l_orderkey, coalesce(sum(l_quantity), 0) as q, (count(distinct l_suppkey) > 1)::bigint as several from lineitem group by 1")
 def two_phase_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A finer aggregation, then the key's own over it."""
-    lines = _table(spark, sf_dir, "lineitem").df.groupBy("l_orderkey", "l_linenumber").agg(Agg.sum("l_quantity", "part"))
-    return Frame.of(lines).groupby("l_orderkey", Agg.sum("part", "q")).df
+    """Sums by order, whose flags are then summed again by a second phase."""
+    first = [Agg.sum("l_quantity", "part"), Agg.n_unique("l_suppkey", "suppliers")]
+    flagged = Ops.flag(lambda n: n > 1, "suppliers", "several")
+    return _table(spark, sf_dir, "lineitem").groupby("l_orderkey", first, flagged, [Agg.sum("part", "q"), Agg.sum("several", "several")], fanout=8).df
 
 
 @_query("gather", "select * from nation")
@@ -338,6 +340,37 @@ def reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(["u", F.round("s", 2).alias("s")]).df
 
 
+@_query("reduce_udf", "select max(l_extendedprice) as top, count(*) as n, min(l_discount) as least from lineitem")
+def reduce_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scalar of opaque Python, one set by a function, and an aggregate."""
+
+    def least(data: dict, frame: DataFrame) -> None:
+        data["least"] = F.min("l_discount")
+
+    top = Reduce.udf(lambda p: pd.DataFrame({"v": [p.l_extendedprice.max()]}), "v double", F.max("v"), "top")
+    items = _table(spark, sf_dir, "lineitem").select(["l_extendedprice", "l_discount"])
+    return items.reduce([top, F.count(F.lit(1)).alias("n"), least]).select(["top", "n", "least"]).df
+
+
+@_query("map_aux", "select n_nationkey, r_name from nation join region on n_regionkey = r_regionkey")
+def map_aux(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opaque Python with auxiliary data that every task gets."""
+    regions = _table(spark, sf_dir, "region").select(["r_regionkey", "r_name"])
+
+    def named(rows: pd.DataFrame, aux: pd.DataFrame) -> pd.DataFrame:
+        return rows.merge(aux, left_on="n_regionkey", right_on="r_regionkey")[["n_nationkey", "r_name"]]
+
+    return _table(spark, sf_dir, "nation").map(named, "n_nationkey int, r_name string", aux_data=regions).df
+
+
+@_query("fanout_merge", "select o_orderkey, c_name from orders join customer on o_custkey = c_custkey")
+def fanout_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A join whose exchange has a width of its own."""
+    customers = _table(spark, sf_dir, "customer").select(["c_custkey", "c_name"])
+    orders = _table(spark, sf_dir, "orders").select(["o_orderkey", "o_custkey"])
+    return orders.merge({0: MergeSource(customers, "c_custkey")}, Merge.join(0, "o_custkey", "c_custkey"), fanout=6).select(["o_orderkey", "c_name"]).df
+
+
 @_query("unique", "select distinct event_type, user_id from events")
 def unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").select(["event_type", "user_id"]).unique().df
@@ -388,21 +421,39 @@ def remap_partition_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "lineitem").select(["l_orderkey", "l_linenumber", remap_partition(F.col("l_orderkey") % 10000, 10000, 7).alias("p")]).df
 
 
-@_query("hash_partition")
+@_query("hash_partition", "select count(*) as n, 0::bigint as split_keys, true as within from orders")
 def hash_partition_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows by partition; ids are the engine's own."""
-    return hash_partition(_table(spark, sf_dir, "orders").df, "o_custkey", 8).groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    """Rows are kept, no key is in two partitions, and partitions are 0 to 7; which key goes where is the engine's own."""
+    parts = hash_partition(_table(spark, sf_dir, "orders").df, "o_custkey", 8).groupBy("o_custkey", F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    keys = parts.groupBy("o_custkey").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("places"), F.min("p").alias("low"), F.max("p").alias("high"))
+    split = F.sum((F.col("places") > 1).cast("bigint"))
+    return keys.agg(F.sum("n").alias("n"), split.alias("split_keys"), ((F.min("low") >= 0) & (F.max("high") < 8)).alias("within"))
+
+
+#: Ranges of sampled bounds are even within this part of a range.
+_EVEN = 0.5
 
 
-@_query("range_partition")
+@_query("range_partition", "select count(*) as n, 8::bigint as ranges, true as apart, true as even from orders")
 def range_partition_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = range_partition(_table(spark, sf_dir, "orders").df, "o_totalprice", 8)
-    return parts.groupBy(F.spark_partition_id().alias("p")).agg(F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"))
+    """Rows are kept, the eight ranges don't overlap, and hold about equally many rows."""
+    parts = range_partition(_table(spark, sf_dir, "orders").df, "o_totalprice", 8).groupBy(F.spark_partition_id().alias("p"))
+    ranges = parts.agg(F.count(F.lit(1)).alias("n"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"))
+    at = ranges.withColumn("before", F.lag("high").over(Window.orderBy("p")))  # eight rows
+    at = at.withColumn("all", F.sum("n").over(Window.partitionBy()))
+    even = F.bool_and(F.abs(F.col("n") * 8 - F.col("all")) <= F.col("all") * _EVEN)
+    return at.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("ranges"), F.bool_and(F.col("before").isNull() | (F.col("before") < F.col("low"))).alias("apart"), even.alias("even"))
 
 
-@_query("range_bounds")
+@_query("range_bounds", "select k::int as k, true as near from range(7) t(k)")
 def range_bounds_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return range_bounds(_table(spark, sf_dir, "orders").df, "o_totalprice", 8)
+    """Each bound has its part of the rows below it, within a hundredth of all rows."""
+    prices = _table(spark, sf_dir, "orders")
+    bounds = prices.sample("o_totalprice", 8).df
+    counts = prices.df.join(F.broadcast(bounds), F.col("o_totalprice") <= F.col("bound"), "right").groupBy("k").agg(F.count("o_totalprice").alias("below"))  # seven bounds
+    total = prices.df.agg(F.count("o_totalprice").alias("all"))
+    part = F.col("below") / F.col("all")
+    return counts.join(F.broadcast(total)).select("k", (F.abs(part - (F.col("k") + 1) / 8) <= 0.01).alias("near"))
 
 
 # sinks

@@ -19,17 +19,23 @@ def read_csv(
     separator: str = ",",
     new_columns: list[str] | None = None,
     line_end: str | None = None,
+    trailing_separator: bool = False,
     **options: str,
 ) -> DataFrame:
-    """Delimited text.
+    """Delimited text.  Bad fields and rows are errors, unless the option ``mode`` says otherwise.
 
-    With a schema, rows may end in a separator (one more, empty field), which is dropped.  Without one,
-    all columns are strings, named by the header or ``new_columns``.
+    With a schema, rows that end in a separator (one more, empty field) are told by ``trailing_separator``.
+    Without one, all columns are strings, named by the header or ``new_columns``.
     """
-    reader = spark.read.option("sep", separator).option("header", has_header).option("mode", "PERMISSIVE").options(**options)
+    reader = spark.read.option("sep", separator).option("header", has_header).option("mode", "FAILFAST").options(**options)
     if line_end:
         reader = reader.option("lineSep", line_end)
-    df = reader.schema(schema).csv(path) if schema is not None else reader.csv(path)
+    if schema is None:
+        df = reader.csv(path)
+    else:
+        fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        end = [T.StructField("__end", T.StringType())] if trailing_separator else []
+        df = reader.schema(T.StructType([*fields.fields, *end])).csv(path).select(*[f"`{f.name}`" for f in fields.fields])
     return df.toDF(*new_columns) if new_columns else df
 
 
@@ -48,9 +54,10 @@ def read_records(spark: SparkSession, path: str, *, binary: bool = False) -> Dat
         line = F.col("value")
         cut = [F.substring(line, at + 1, n).alias(str(k)) for k, (at, n) in enumerate((KEY, VALUE))]
         return spark.read.text(path).where(F.length(line) > 0).select(*cut)
-    records = spark.sparkContext.binaryRecords(path, RECORD).map(lambda r: (bytearray(r),))
-    whole = spark.createDataFrame(records, T.StructType([T.StructField("r", T.BinaryType())]))
-    return whole.select(*[F.decode(F.substring("r", at + 1, n), "ISO-8859-1").alias(str(k)) for k, (at, n) in enumerate((KEY, VALUE))])
+    context, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+    records = context.binaryRecords(path, RECORD, context.hadoopConfiguration())  # stays in the JVM
+    whole = DataFrame(spark._jsparkSession.createDataset(records, jvm.org.apache.spark.sql.Encoders.BINARY()).toDF(), spark)
+    return whole.select(*[F.decode(F.substring("value", at + 1, n), "ISO-8859-1").alias(str(k)) for k, (at, n) in enumerate((KEY, VALUE))])
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

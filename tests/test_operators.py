@@ -88,7 +88,12 @@ def test_partitioning(spark):
 
 def test_csv_with_trailing_separator_and_header(spark, tmp_path):
     (tmp_path / "a.dat").write_text("1|x|2.5|\n2|y||\n")
-    assert _rows(read_csv(spark, str(tmp_path / "a.dat"), "a int, b string, c double", has_header=False, separator="|")) == [(1, "x", 2.5), (2, "y", None)]
+    at = dict(schema="a int, b string, c double", has_header=False, separator="|")
+    assert _rows(read_csv(spark, str(tmp_path / "a.dat"), trailing_separator=True, **at)) == [(1, "x", 2.5), (2, "y", None)]
+    (tmp_path / "bad.dat").write_text("1|x|2.5\n2|y|nonsense\n")
+    with pytest.raises(Exception):  # noqa: B017
+        read_csv(spark, str(tmp_path / "bad.dat"), **at).collect()
+    assert _rows(read_csv(spark, str(tmp_path / "bad.dat"), mode="PERMISSIVE", **at)) == [(1, "x", 2.5), (2, "y", None)]
     (tmp_path / "b.csv").write_text("p,q\n1,2\n")
     assert read_csv(spark, str(tmp_path / "b.csv")).collect()[0].asDict() == {"p": "1", "q": "2"}
     assert read_csv(spark, str(tmp_path / "b.csv"), new_columns=["r", "s"]).columns == ["r", "s"]
@@ -107,6 +112,73 @@ def test_records_as_lines_and_as_bytes(spark, tmp_path):
         assert sorted((r[0], r[1].rstrip(), len(r[1])) for r in got) == [(f"{k:010d}", f"v{k}", 86) for k in (1, 2, 3)]
 
 
+def test_binary_records_hold_any_bytes_and_need_no_python(spark, tmp_path):
+    record = bytes(range(246, 256)) + b"\x00\x01" + bytes(k % 256 for k in range(86)) + b"\n\n"
+    (tmp_path / "r").write_bytes(record * 3)
+    got = read_records(spark, str(tmp_path / "r"), binary=True)
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [(r[0].encode("latin-1"), r[1].encode("latin-1")) for r in got.collect()] == [(record[:10], record[12:98])] * 3
+
+
+def test_merge_patterns_choose_the_exchange(spark):
+    a, b = spark.range(100).toDF("k"), spark.range(50).toDF("k2")
+    plan = lambda pattern: Frame.of(a).merge({0: MergeSource(b, "k2", pattern)}, Merge.join(0, "k", "k2")).to_physical()
+    assert "SortMergeJoin" in plan(MergePattern.PARTIAL) and "Broadcast" not in plan(MergePattern.PARTIAL)
+    assert "BroadcastHashJoin" in plan(MergePattern.ALL) and "BroadcastHashJoin" in plan(MergePattern.AUTO)
+
+
+def test_fanout_is_the_width_of_the_operators_own_exchange(spark):
+    df = spark.range(1000).selectExpr("id % 50 as k", "id as v")
+    f = Frame.of(df)
+    for got in (f.groupby("k", Agg.sum("v", "s"), fanout=3), f.unique(fanout=3), f.sort("v", fanout=3), f.merge({0: MergeSource(df.toDF("k2", "w"), "k2")}, Merge.join(0, "k", "k2"), fanout=3)):
+        plan = got.to_physical()
+        assert "RoundRobin" not in plan and "Broadcast" not in plan and got.df.rdd.getNumPartitions() <= 3
+    assert f.groupby("k", Agg.sum("v", "s"), fanout=3).to_physical().count("Exchange") == 1
+    assert [r.v for r in f.sort("v", descending=True, fanout=4).df.collect()] == list(range(999, -1, -1))
+    assert f.select("v", fanout=5).df.rdd.getNumPartitions() == 5
+
+
+def test_second_phase_of_groupby(nulls):
+    got = Frame.of(nulls).groupby("k", Agg.sum("x", "s"), Ops.flag(lambda s: s > 0, "s", "f"), Agg.sum("f", "n")).df
+    assert _rows(got) == sorted([(1, 1), (2, 0), (None, 1)], key=repr)
+
+
+def test_reducers(spark):
+    def wide(data, frame):
+        data["wide"] = F.max("id") - F.min("id")
+        data["n"] = frame.agg(F.count(F.lit(1)))
+
+    total = Reduce.udf(lambda p: pd.DataFrame({"s": [int((p.id**2).sum())]}), "s long", F.sum("s"), "squares")
+    got = Frame.of(spark.range(100).repartition(5)).reduce([F.max("id").alias("top"), wide, total]).df.first().asDict()
+    assert got == {"top": 99, "wide": 99, "n": 100, "squares": sum(k * k for k in range(100))}
+
+
+def test_auxiliary_data_and_slots(spark, monkeypatch):
+    from millrace.operators import merge
+
+    a, b = spark.range(5).toDF("k"), spark.createDataFrame([(1, "x"), (3, "y")], "j long, name string")
+    named = Frame.of(a).map(lambda p, aux: p.assign(name=p.k.map(dict(zip(aux.j, aux.name, strict=True))))[["k", "name"]].dropna(), "k long, name string", aux_data=Frame.of(b))
+    assert _rows(named.df) == [(1, "x"), (3, "y")]
+    assert _rows(Frame.of(a).map(lambda p, aux: p[p.k > aux], "k long", aux_data=3).df) == [(4,)]
+    assert Frame.of(a).map(lambda df, aux: df.crossJoin(aux.df if hasattr(aux, "df") else aux), aux_data=b).df.count() == 10
+    monkeypatch.setattr(merge, "BROADCAST_BYTES", 1)
+    with pytest.raises(ValueError, match="too large"):
+        Frame.of(a).map(lambda p, aux: p, "k long", aux_data=b)
+    f = Frame.of(a).merge({0: MergeSource(b, "j")})
+    g = f.select("name", data_id=0).filter(F.col("name") == "x", data_id=0)
+    assert _rows(g.slots[0]) == [("x",)] and g.df.columns == ["k"]
+    with pytest.raises(ValueError, match="no data"):
+        f.select("name", data_id=7)
+
+
+def test_sample_and_stages(spark):
+    f = Frame.of(spark.range(1000))
+    up, down = (f.sample("id", 4, descending=d).df.orderBy("k").collect() for d in (False, True))
+    assert [r.bound for r in up] == pytest.approx([250, 500, 750], abs=5) and [r.bound for r in down] == [r.bound for r in up][::-1]
+    stages = Frame.of(spark.range(100).selectExpr("id % 7 as k", "id")).groupby("k", Agg.sum("id", "s")).to_physical().stages
+    assert stages[0]["reads"] == [1] and stages[1]["reads"] == [] and any("Aggregate" in x for x in stages[1]["operators"])
+
+
 def test_generator_runs_once_in_each_task(spark):
     assert generate(spark, lambda: pd.DataFrame({"a": [1, 2]}), "a long", fanout=3).count() == 6
     made = Frame.void(spark).map(lambda t: pd.DataFrame({"a": [t]}), "a long", fanout=3)
@@ -199,6 +271,15 @@ def test_a_shared_folder_where_none_is_set(spark, monkeypatch):
     monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default)
     assert storage.shared_dir(spark) == storage.shared_dir(spark)
 
+    class OnCluster:
+        conf = spark.conf
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(OnCluster)
+
 
 def test_llm_is_optional(tmp_path):
     """Without the subpackage and the pipeline the entry module still has the other queries."""
@@ -210,5 +291,14 @@ def test_llm_is_optional(tmp_path):
     repo = Path(__file__).resolve().parent.parent
     shutil.copytree(repo / "millrace", tmp_path / "millrace", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(repo / "__spark_entry__.py", tmp_path)
-    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(*e.queries())"], cwd=tmp_path, capture_output=True, text=True, check=True)
-    assert "flagship" in said.stdout and "op1_" not in said.stdout and "pipeline" not in said.stdout
+    ask = [sys.executable, "-c", "import __spark_entry__ as e; print(*e.queries())"]
+    run = lambda: subprocess.run(ask, cwd=tmp_path, capture_output=True, text=True, check=True).stdout
+    said = run()
+    assert "flagship" in said and "op1_" not in said and "pipeline" not in said
+    if (repo / "corpus_pipeline.py").exists():
+        shutil.copy(repo / "corpus_pipeline.py", tmp_path)
+        assert run() == said
+        # with the subpackage, but without a package that it needs
+        shutil.copytree(repo / "millrace" / "llm", tmp_path / "millrace" / "llm")
+        (tmp_path / "regex.py").write_text("raise ModuleNotFoundError(\"No module named 'regex'\", name='regex')")
+        assert run() == said
