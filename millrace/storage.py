@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -14,12 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (single-machine tests) is a temporary folder made, one for each context.
+    Only where that is unset and the master is local (tests) is a temporary folder made, one for each context.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
     context = spark.sparkContext
+    if not re.match(r"local(\[|$)", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not getattr(context, "_millrace_shared", None):
         context._millrace_shared = tempfile.mkdtemp(prefix="millrace-")
         atexit.register(shutil.rmtree, context._millrace_shared, ignore_errors=True)
