@@ -66,15 +66,15 @@ def sweep() -> None:
             _delete(spark, path)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def settle(df: DataFrame, files: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; ``files`` bounds the number of files of tables known to be small.
 
     This cuts the lineage, so later passes neither repeat the work above nor lose it with an executor.
     The table goes when the driver has collected every plan that reads it, or when the driver ends.
     """
     sweep()
     path = scratch(df.sparkSession, "settled")
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     _watch(table, path)
     return table
