@@ -19,6 +19,10 @@ from (select *, row_number() over (partition by query_id, q order by score desc,
 """
 
 
+#: Levels of the tree in SQL; deeper segments of these tables are all variable.
+LEVELS = 4
+
+
 def _rule_case(column: int) -> str:
     """Longest rules first; column 1 is the rule, 0 its verdict."""
     whens = []
@@ -37,7 +41,7 @@ def url_sql() -> str:
         f"l as (select *, {_rule_case(1)} as rule, {_rule_case(0)} as label from u)",
         "t0 as (select *, list_filter(string_split(path, '/'), lambda x: x <> '') as parts, '' as template from l)",
     ]
-    for k in range(urls.DEPTH):
+    for k in range(LEVELS):
         steps += [
             f"c{k} as (select host, template, parts[{k + 1}] as part, count(*) as n from t{k} where len(parts) > {k} group by all)",
             f"""d{k} as (select * from (select *, sum(n) over (partition by host, template) as total from c{k})
@@ -46,22 +50,26 @@ def url_sql() -> str:
                   from t{k} t left join d{k} d on t.host = d.host and t.template = d.template and parts[{k + 1}] = d.part)""",
         ]
     steps += [
-        f"t as (select * replace (case when len(parts) > {urls.DEPTH} then template || '/**' else template end as template) from t{urls.DEPTH})",
-        "leaf as (select host, template, count(label) as labelled, count(*) filter (label = 'block') as blocked from t group by all)",
-        f"""kin as (select host, template, labelled, blocked,
-                  list_reduce(list_prepend('', list_transform(p, lambda x, j: case when j = i then '?' else x end)), lambda a, b: a || '/' || b) as open
-                  from (select *, string_split(template, '/')[2:] as p from leaf where labelled >= {urls.MERGE_LABELS}), unnest(range(1, len(p) + 1)) r(i)
-                  where not starts_with(p[i], '*'))""",
-        "pool as (select *, sum(blocked) over o / sum(labelled) over o as share from kin window o as (partition by host, open))",
-        f"alike as (select * from pool where abs(blocked / labelled - share) <= {urls.MERGE_ERRORS} * sqrt(share * (1 - share) / labelled) + 1e-12)",
-        "merged as (select host, template, sum(labelled) over o as m_labelled, sum(blocked) over o as m_blocked from alike window o as (partition by host, open))",
-        "best as (select host, template, max({'a': m_labelled::bigint, 'b': m_blocked::bigint}) as m from merged group by all)",
-        f"""tree as (select leaf.host, leaf.template,
-                  (coalesce(m.b, blocked) + {urls.STRENGTH * urls.PRIOR}::double) / (coalesce(m.a, labelled) + {urls.STRENGTH}::double) as purity
-                  from leaf left join best using (host, template))""",
+        f"t as (select * replace (template || repeat('/*', greatest(len(parts) - {LEVELS}, 0)) as template) from t{LEVELS})",
+        "leaf as (select host, template, count(*) as n, count(label) as labelled, count(*) filter (label = 'block') as blocked from t group by all)",
+        """split as (select host, template, n, labelled, blocked, p[i] as literal, array_to_string(p[:i - 1], '/') as prefix, array_to_string(p[i + 1:], '/') as suffix
+              from (select *, string_split(template, '/')[2:] as p from leaf), unnest(range(1, len(p) + 1)) r(i) where p[i] <> '*')""",
+        f"""branch as (select *, string_agg(distinct suffix, ' ' order by suffix) filter (n >= {urls.MAIN_SHAPE} * nb) over o as shape
+              from (select *, sum(n) over (partition by host, prefix, literal) as nb from split) window o as (partition by host, prefix, literal))""",
+        "seen as (select *, sum(n) over (partition by host, prefix, shape, suffix) as ns, sum(n) over (partition by host, prefix, shape) as np from branch)",
+        "free as (select host, prefix, shape, count(distinct suffix) - 1 as df from branch group by all)",
+        f"""alike as (select host, prefix, shape, literal, sum(labelled) as bl, sum(blocked) as bb from seen join free using (host, prefix, shape) group by host, prefix, shape, literal, df
+              having sum((n - nb * ns / np) ** 2 / (nb * ns / np)) + max(nb) * (1 - sum(ns) / max(np)) <= df + {urls.SHAPE_ERRORS} * sqrt(2 * df) + 1e-6)""",
+        f"""joined as (select host, prefix, shape, literal from (select *, sum(bb) over o / greatest(sum(bl) over o, 1) as share from alike window o as (partition by host, prefix, shape))
+              where bl = 0 or abs(bb / bl - share) <= {urls.LABEL_ERRORS} * sqrt(share * (1 - share) / bl) + 1e-12)""",
+        "pooled as (select *, sum(labelled) over o as ml, sum(blocked) over o as mb from branch join joined using (host, prefix, shape, literal) window o as (partition by host, prefix, shape, suffix))",
+        "best as (select host, template, max({'a': ml::bigint, 'b': mb::bigint}) as m from pooled group by all)",
+        f"hosts as (select host, (sum(blocked) + {urls.STRENGTH * urls.PRIOR}::double) / (sum(labelled) + {urls.STRENGTH}::double) as of_host from leaf group by 1)",
+        f"""tree as (select host, template, coalesce(m.a, labelled) as labels, (coalesce(m.b, blocked) + {urls.STRENGTH}::double * of_host) / (coalesce(m.a, labelled) + {urls.STRENGTH}::double) as purity
+                  from leaf left join best using (host, template) join hosts using (host))""",
     ]
     return f"""with {", ".join(steps)}
-      select page_id, t.host, path, rule, coalesce(label, case when purity >= {urls.REJECT} then 'block' else 'allow' end) as verdict, t.template, purity
+      select page_id, t.host, path, rule, coalesce(label, case when labels > 0 and purity >= {urls.REJECT} then 'block' else 'allow' end) as verdict, t.template, purity
       from t join tree on t.host = tree.host and t.template = tree.template"""
 
 
@@ -110,10 +118,15 @@ ranked as (
 odds as (select *, (u / (1 - u)) / (p / (1 - p)) as o from ranked),
 ranks as (select n, source, size, part * source_size as need, floor(o / (1 + o) * {_RANKS}::double)::bigint as rank from odds),
 sums as (
-  select source, rank, sum(size) as words, max(need) as need, sum(sum(size)) over (partition by source order by rank) as upto from ranks group by source, rank
+  select source, rank, sum(size) as words, count(*) as rows, max(need) as need, sum(sum(size)) over (partition by source order by rank) as upto from ranks group by source, rank
 ),
-taken_ranks as (select source, rank from sums where upto < need or (upto - words < need and (need - (upto - words)) * 2 >= words)),
-extra as (select n from ranks r join taken_ranks t on r.source is not distinct from t.source and r.rank = t.rank)
+quota as (
+  select source, rank, case when upto < need then rows else least(rows, floor((need - (upto - words)) * rows / words + 0.5)) end as quota from sums where upto - words < need
+),
+extra as (
+  select n from (select r.n, q.quota, row_number() over (partition by r.source, r.rank order by r.n) as k
+                 from ranks r join quota q on r.source is not distinct from q.source and r.rank = q.rank) where k <= quota
+)
 select doc_id, size, source_size, target, ((whole + (extra.n is not null)::int) * size)::bigint as taken from d left join extra on d.n = extra.n
 """
 
