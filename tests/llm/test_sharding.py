@@ -58,7 +58,7 @@ def test_cuts_are_weighted_medians(spark):
     points = [(1, rnd.getrandbits(62), rnd.randint(1, 50)) for _ in range(3000)] + [(2, 7, 10), (2, 9, 10)]
     df = spark.createDataFrame(points, "node int, key long, bytes long")
     total = sum(b for n, _, b in points if n == 1)
-    cuts = sharding._cuts(df, {1: ("by_size", total / 2), 2: ("by_size", 10.0)}, miss=0)
+    cuts = sharding._cuts(df, {1: (0, total / 2), 2: (0, 10.0)}, 63, miss=0)
     left = sum(b for n, k, b in points if n == 1 and k < cuts[1])
     assert abs(left - total / 2) <= 25 and 7 < cuts[2] <= 9
 
@@ -76,3 +76,28 @@ def test_leaves_reach_the_target(spark, shards):
 def test_edges(spark, tmp_path, rows):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     _check(rows, op4_sharding(spark, str(tmp_path)).collect(), None)
+
+
+def test_the_widest_dimension_is_split_first(spark):
+    """Sizes alike, many sources: bytes spread widest over the sources; sources alike, many sizes: over the sizes."""
+    schema = "doc_id long, text string, lang string, source string"
+    by_source = [(i, "x" * 100 + str(1000 + i), "en", f"s{i % 50}") for i in range(1000)]
+    by_size = [(i, "x" * (1 + i), "en", "s") for i in range(1000)]
+    for rows, dimension in ((by_source, "by_source"), (by_size, "by_size")):
+        texts = spark.createDataFrame(rows, schema).selectExpr("lang", "source", "length(text) + 1L as size", "xxhash64(text) as hash", "0L as piece", "length(text) + 1L as bytes")
+        points = sharding._coordinates(texts)
+        tree, _ = sharding.grow(points, 2, sum(len(t) + 1 for _, t, _, _ in rows))
+        assert tree[1][0] == dimension
+
+
+def test_many_rows_of_an_empty_text(spark, tmp_path):
+    rows = _docs(1500) + [(5000 + i, None if i % 2 else "", None, f"s{i % 7}", "?") for i in range(1500)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, slot string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    _check(rows, op4_sharding(spark, str(tmp_path)).collect(), 1.08)
+
+
+def test_very_long_text(spark, tmp_path):
+    rows = [*_docs(500), (9000, "long " * 200_000, "en", "s1", "?")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, slot string").write.parquet(str(tmp_path / "documents.parquet"))
+    by = _check(rows, op4_sharding(spark, str(tmp_path)).collect(), None)
+    assert sum(any(r.doc_id == 9000 for r in mine) for mine in by.values()) == 1
