@@ -22,7 +22,8 @@ Defined cases: a null text counts as empty; a text without words has
 fingerprint zero, which is linked like any other; a text of fewer words than a
 shingle is one shingle; a row whose ``doc_id`` is null takes part, and its
 component is the smallest id reachable (null if there is none); repeated rows
-are all returned; an empty table gives an empty result; further columns of the
+are all returned; a very long text is read as a whole, its shingles counted in
+parts; an empty table gives an empty result; further columns of the
 input, whatever their names, are not looked at.
 """
 
@@ -196,7 +197,8 @@ def _link_groups(batches: Iterator[pa.RecordBatch], cap: int) -> Iterator[pa.Rec
 def links(fps: DataFrame, cap: int = GROUP_CAP) -> DataFrame:
     """(a, b): links among the distinct fingerprints ``fp`` that join all that are at most three bits apart."""
     found = None
-    rows = _variants(fps)
+    wide = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = _variants(fps.repartition(wide, "fp"))  # 64 rows of each, so they are dealt out before
     for level in (1, 2, 3):
         keyed = rows.repartition("key", "sub").sortWithinPartitions("key", "sub")
         limit = cap if level < 3 else 1 << 30  # a group of the third level has 2,048 fingerprints at most
@@ -213,15 +215,20 @@ def links(fps: DataFrame, cap: int = GROUP_CAP) -> DataFrame:
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (a, b); root is the smallest node of its component.
 
-    In each round every group points to the smallest group next to it, pointers are followed to their end,
-    and edges are drawn between the merged groups.  At least half of the groups that still have an edge
-    disappear in a round.  All tables stay distributed and are written between rounds.
+    In each round every group gets a number by a hash that is new in each round, and points to the group next to it
+    with the smallest number, if that is smaller than its own; pointers are followed to their end, and edges are drawn
+    between the merged groups.  A group with ``d`` neighbours stays with probability ``1 / (d + 1)`` at most, so half of
+    the groups that still have an edge, or more, are expected to go in a round.  All tables stay distributed and are
+    written between rounds.
     """
     ab = edges.select("a", "b").where("a <> b")
     e = settle(ab.union(ab.select("b", "a")).distinct())
     labels = None
+    turn = 0
     while not e.isEmpty():
-        step = settle(e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
+        number = lambda c, turn=turn: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("at"))
+        best = e.groupBy("a").agg(F.min(number("b")).alias("m"))
+        step = settle(best.select(F.col("a").alias("node"), F.least("m", number("a")).at.alias("root")))
         while True:
             on = step.alias("p").join(step.alias("q"), F.col("p.root") == F.col("q.node"))
             step = settle(on.select("p.node", F.col("q.root").alias("root"), (F.col("p.root") != F.col("q.root")).alias("moved")))
@@ -235,7 +242,11 @@ def connected(edges: DataFrame) -> DataFrame:
             labels = settle(labels.join(after, "root", "left").select("node", F.coalesce("after", "root").alias("root")))
         a, b = (step.select(F.col("node").alias(c), F.col("root").alias(f"{c}_")) for c in "ab")
         e = settle(e.join(a, "a").join(b, "b").where("a_ <> b_").select(F.col("a_").alias("a"), F.col("b_").alias("b")).distinct())
-    return labels if labels is not None else e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        turn += 1
+    if labels is None:
+        return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    least = labels.groupBy("root").agg(F.min("node").alias("least"))
+    return settle(labels.join(least, "root").select("node", F.col("least").alias("root")))
 
 
 def classes(rows: DataFrame) -> DataFrame:
