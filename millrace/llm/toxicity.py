@@ -3,7 +3,9 @@
 A text's terms are its words and the words' beginnings (which carry inflected
 forms to their stem), hashed into ``2 ** BITS`` buckets.  A text's vector holds
 damped counts of the buckets that tell toxic documents from others in the
-sample (log-likelihood ratio).  Its score is
+sample (log-likelihood ratio), and of the ``FREQUENT`` buckets found in most
+toxic documents, which may tell nothing alone but something in pairs.  Its score
+is
 
     sigmoid(w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j),
 
@@ -11,9 +13,9 @@ so that a pair such as an insult and the mention of a group can weigh more, or
 less, than the two apart.  The pair sum is computed in time linear in the terms.
 
 Training is on at most ``SAMPLE`` labelled documents (a documented bound; they
-are those with the lowest hash of their id), by Adam on the logistic loss, with
-a fixed seed.  Labels enter only through the sample; scores use nothing but the
-text.
+are those with the lowest hash of their id; of rows that repeat an id one is
+learnt from), by Adam on the logistic loss, with a fixed seed.  Labels enter
+only through the sample; scores use nothing but the text.
 
 Scale: scoring is one pass without a shuffle.  The model has at most
 ``2 ** BITS * (FACTORS + 1)`` numbers, in practice some thousand, and is
@@ -22,7 +24,7 @@ broadcast.
 Defined cases: null and empty texts have no terms and score sigmoid(w0); labels
 that are null are not learnt from; repeated rows are scored alike; without
 labels of both kinds every score is the share of toxic labels (0 without
-labels); an empty table gives an empty result; further columns of the input,
+labels); a very long text is read as a whole; an empty table gives an empty result; further columns of the input,
 whatever their names, are not looked at.
 """
 
@@ -47,6 +49,8 @@ FACTORS = 4
 SAMPLE = 20_000
 #: Buckets enter the model from this log-likelihood ratio (G2) between toxic and other sampled documents on.
 EVIDENCE = 12.0
+#: So many others enter it by the number of toxic documents that have them, if not in more than half of the sample.
+FREQUENT = 256
 EPOCHS, BATCH, RATE, DECAY = 40, 64, 0.02, 2e-3
 SEED = 7
 MEMO_WORDS = 50_000
@@ -156,8 +160,10 @@ def telling(sample: DataFrame, n: int, toxic: int) -> np.ndarray:
 
     a, df = F.col("a"), F.col("df")
     g2 = 2 * (part(a, df * share) + part(df - a, df * (1 - share)) + part(toxic - a, (n - df) * share) + part(n - toxic - (df - a), (n - df) * (1 - share)))
-    rows = counts.where((a >= 3) & (g2 >= EVIDENCE)).select("bucket").toArrow()  # at most 2 ** BITS, a few thousand in practice
-    return np.sort(rows.column("bucket").to_numpy()) if rows.num_rows else np.zeros(0, np.int32)
+    counts = settle(counts.where(a >= 3))
+    rows = counts.where(g2 >= EVIDENCE).select("bucket").toArrow()  # at most 2 ** BITS, a few thousand in practice
+    often = counts.where(df <= n / 2).orderBy(a.desc(), "bucket").limit(FREQUENT).select("bucket").toArrow()
+    return np.union1d(rows.column("bucket").to_numpy(), often.column("bucket").to_numpy()).astype(np.int32)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -165,8 +171,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     python_ready(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = settle(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    # at most ``sample`` rows of two numbers; a repeated doc_id counts as often as it occurs
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # at most ``sample`` rows of two numbers
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = settle(found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t"), F.max("toxic").alias("toxic")).select("doc_id", "toxic", "t.text"))
     total = texts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
     if not 0 < total["toxic"] < total["n"]:
         return fit(np.zeros(0, np.int32), [], np.array([1.0 if total["toxic"] else 0.0]))
@@ -181,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             [pa.array([r[0].astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float32()))], names=["at", "x"]
         )
 
-    table = texts.select("doc_id", "toxic", vectors("text").alias("v")).orderBy(F.xxhash64("doc_id"), "doc_id", "v").limit(2 * sample).toArrow()
+    table = texts.select("doc_id", "toxic", vectors("text").alias("v")).toArrow().sort_by("doc_id")  # at most ``sample`` rows
     rows = [(v["at"].values.to_numpy(), v["x"].values.to_numpy()) for v in table.column("v")]
     return fit(cells, rows, table.column("toxic").to_numpy().astype(np.float64))
 

@@ -34,6 +34,64 @@ def test_pairs_that_additive_weights_miss():
     assert right == 1.0
 
 
+def test_terms_that_are_neutral_alone(spark):
+    """An insult and a group's name are each as frequent in clean documents; only both together are toxic."""
+    rnd = random.Random(6)
+    filler = [f"filler{k}" for k in range(200)]
+    docs, labels = [], []
+    for i in range(4000):
+        words = [rnd.choice(filler) for _ in range(rnd.randint(10, 40))]
+        toxic = i % 10 == 0
+        alone = rnd.choice(["insultword", "groupname"]) if rnd.random() < 0.5 else None
+        words += ["insultword", "groupname"] if toxic else [alone] * (alone is not None)
+        rnd.shuffle(words)
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.train(df, spark.createDataFrame(labels, "doc_id long, toxic int").where("doc_id % 2 = 0"))
+    got = {r.doc_id: r.s for r in df.select("doc_id", toxicity.score(df, model).alias("s")).collect()}
+    assert np.mean([(got[i] >= 0.5) == bool(t) for i, t in labels if i % 2]) > 0.99
+
+
+def test_query_scores_are_the_models_done_plainly(spark, tmp_path):
+    """Selection, sample and scores of the query against plain counting and the pair sum by definition."""
+    docs, labels = _corpus(spark, tmp_path)
+    got = {r.doc_id: r.score for r in op2_toxicity(spark, str(tmp_path)).collect()}
+    text = {i: t for i, t, _, _ in docs}
+    known = {i: t for i, _, t in labels if i is not None and t is not None and zlib.crc32(str(i).encode()) % 5}
+    have = {i: set(toxicity.all_buckets(text[i])) for i in known}
+    n, toxic = len(known), sum(known.values())
+    cells = []
+    often = []
+    for b in sorted(set().union(*have.values())):
+        df, a = sum(b in x for x in have.values()), sum(b in have[i] and known[i] for i in known)
+        part = lambda found, expected: found * np.log(found / expected) if found else 0.0
+        share = toxic / n
+        g2 = 2 * (part(a, df * share) + part(df - a, df * (1 - share)) + part(toxic - a, (n - df) * share) + part(n - toxic - df + a, (n - df) * (1 - share)))
+        if a >= 3 and g2 >= toxicity.EVIDENCE:
+            cells.append(b)
+        if a >= 3 and df <= n / 2:
+            often.append((-a, b))
+    cells = np.array(sorted({*cells, *(b for _, b in sorted(often)[: toxicity.FREQUENT])}), np.int32)
+    terms = toxicity.Terms(cells)
+    order = sorted(known)
+    model = toxicity.fit(cells, [terms.vector(text[i]) for i in order], np.array([float(known[i]) for i in order]))
+    for i, t, _, _ in docs:
+        at, x = terms.vector(t)
+        z = model.w0 + sum(model.w[p] * v for p, v in zip(at, x, strict=True))
+        z += sum(float(model.v[at[j]] @ model.v[at[k]]) * x[j] * x[k] for j in range(len(at)) for k in range(j))
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -40, 40))), abs=1e-3)
+
+
+def test_repeated_and_very_long_rows(spark, tmp_path):
+    docs = [(i % 40, f"text {i} " + ("vile " if i % 40 < 10 else "fine ") * (20_000 if i == 5 else 3), "x") for i in range(120)]
+    labels = [(i, int(i < 10)) for i in range(40)] * 2
+    spark.createDataFrame(docs, "doc_id long, text string, score string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = op2_toxicity(spark, str(tmp_path)).collect()
+    assert len(got) == 120 and all(r.predicted == int(r.doc_id < 10) for r in got)
+
+
 def _corpus(spark, at, n=1500):
     rnd = random.Random(4)
     filler = [f"filler{k}" for k in range(300)]
