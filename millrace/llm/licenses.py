@@ -16,7 +16,8 @@ Scale: one pass without a shuffle: one table lookup per bigram, and work in
 proportion to the shared bigrams times the template's length.
 
 Defined cases: a null text counts as empty and has no licence; equal scores go
-to the template listed first; repeated rows are scanned alike; an empty table
+to the template listed first; repeated rows are scanned alike; a very long text is
+scanned as a whole; an empty table
 gives an empty result; further columns of the input, whatever their names, are
 not looked at.
 """
@@ -156,18 +157,19 @@ class Scanner:
 
 
 @lru_cache(maxsize=4)
-def _scanner(threshold: float) -> Scanner:
-    return Scanner(TEMPLATES, threshold)
+def _scanner(templates: tuple[tuple[str, tuple[str, ...]], ...], threshold: float) -> Scanner:
+    return Scanner(dict(templates), threshold)
 
 
-def licences(text: Column, threshold: float = THRESHOLD) -> Column:
-    """Array of (licence, dice) found in a text, the likest first."""
+def licences(text: Column, threshold: float = THRESHOLD, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> Column:
+    """Array of (licence, dice) found in a text, the likest first; ``templates`` has the notices or full texts of each licence."""
+    given = tuple((name, tuple(texts)) for name, texts in templates.items())
     kind = T.ArrayType(T.StructType([T.StructField("licence", T.StringType()), T.StructField("dice", T.DoubleType())]))
     shape = pa.list_(pa.struct([("licence", pa.string()), ("dice", pa.float64())]))
 
     @F.arrow_udf(kind)
     def run(texts: pa.Array) -> pa.Array:
-        s = _scanner(threshold)
+        s = _scanner(given, threshold)
         return pa.array([[{"licence": n, "dice": d} for n, d in s.scan(t.as_py())] for t in texts], shape)
 
     return run(text)

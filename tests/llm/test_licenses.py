@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -102,3 +103,51 @@ def test_query(spark, tmp_path):
     assert got == sorted([(1, "MIT", 1.0, "MIT")] * 2 + [(2, None, None, ""), (3, None, None, ""), (None, "CC-BY-NC-4.0", 1.0, "CC-BY-NC-4.0")], key=repr)
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "e" / "documents.parquet"))
     assert op9_licenses(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_query_against_every_passage(spark, tmp_path):
+    """op9 on a small table against Dice of every passage with every notice."""
+    rnd = random.Random(4)
+    filler = "the of a in this work is to and software license".split()
+    say = lambda n: " ".join(rnd.choice(filler) for _ in range(n))
+    texts = [None, "", say(30)]
+    for notices in licenses.TEMPLATES.values():
+        words = notices[-1].split()[:60]
+        cut = list(words)
+        for _ in range(len(cut) // 12):
+            cut[rnd.randrange(len(cut))] = "changed"
+        texts += [f"{say(8)} {notices[-1]} {say(6)}", f"{say(5)} {' '.join(cut)} {say(9)}"]
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(1, texts[4], "x"), (None, texts[3], "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, licence string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = Counter((r.doc_id, r.licence, None if r.dice is None else round(r.dice, 9)) for r in op9_licenses(spark, str(tmp_path)).collect())
+    want = Counter()
+    for i, t, _ in rows:
+        words = licenses.normalised(t)
+        pairs = list(zip(words, words[1:], strict=False))
+        best: dict[str, float] = {}
+        for name, notices in licenses.TEMPLATES.items():
+            for notice in notices:
+                bag = Counter(zip(n := licenses.normalised(notice), n[1:], strict=False))
+                m = bag.total()
+                for start in range(len(pairs)):
+                    left, shared = Counter(bag), 0
+                    for end in range(start, min(len(pairs), start + int(1.5 * m) + 1)):
+                        if left[pairs[end]] > 0:
+                            left[pairs[end]] -= 1
+                            shared += 1
+                        best[name] = max(best.get(name, 0.0), 2 * shared / (end - start + 1 + m))
+        found = sorted(((-d, k) for k, d in enumerate(best.values()) if d >= licenses.THRESHOLD), default=[])
+        names = list(best)
+        want[(i, names[found[0][1]], round(-found[0][0], 9)) if found else (i, None, None)] += 1
+    assert got == want
+
+
+def test_own_templates_and_very_long_texts(spark):
+    own = {"Mine": ("you may copy this text as often as you like provided that you say where it is from",)}
+    text = "word " * 100_000 + own["Mine"][0] + " other" * 50_000
+    df = spark.createDataFrame([(1, text), (2, licenses.TEMPLATES["ISC"][0])], "doc_id long, text string")
+    from millrace.llm.common import python_ready
+
+    python_ready(spark)
+    got = {r.doc_id: [x.licence for x in r.f] for r in df.select("doc_id", licenses.licences(df.text, templates=own).alias("f")).collect()}
+    assert got == {1: ["Mine"], 2: []}
