@@ -84,35 +84,63 @@ def test_terms_that_give_an_entity_away(spark):
     assert any("rareterm <EMAIL> uniqueword" in t for t in clean.values())
 
 
-def test_disclosures_are_those_of_plain_counts(spark):
-    rows = _docs()
-    df = spark.createDataFrame(rows, "doc_id long, text string, rid string")
+def _plain_terms(rows):
+    """Spans of terms by plain counting over whole documents; every document is a context of its own here."""
     n = len(rows)
-    near, entity_docs, term_docs = defaultdict(Counter), defaultdict(set), defaultdict(set)
-    for i, t, _ in rows:
-        for w in set(re.findall(r"[^\W\d_]{2,}", t.lower())):
-            term_docs[w].add(i)
-        for x in pii._terms_near(t, pii.find_patterns(t)):
-            entity_docs[x["entity"]].add(i)
-            near[x["entity"], x["term"].lower()][x["context"]] += 1
-    want = {}
-    for (e, t), contexts in near.items():
-        total = sum(contexts.values())
-        if total**2 / sum(v * v for v in contexts.values()) < pii.SUPPORT:
-            continue
-        ne, nt = len(entity_docs[e]), len(term_docs[t])
-        d = math.log(n * min(total, ne, nt) / (ne * nt)) / math.log(n / ne)
-        if d >= pii.GENERALISE:
-            want[e, t] = d
-    python = pii.find(df)  # ships the package first
-    assert python.count() == n
-    from pyspark.sql import functions as F
-
-    found = df.select(F.monotonically_increasing_id().alias("rid"), pii._find("text").near.alias("near"))
-    found = found.withColumn("near", F.transform("near", lambda x: x.withField("term", F.lower(x.term))))
-    got = {(r.entity, r.term): r.disclosure for r in pii.disclosures(found, df.select("text")).collect()}
-    assert got.keys() == want.keys() and len(want) == 2
-    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    words = {i: set(re.findall(r"[^\W\d_]{2,}", t.lower())) for i, t in rows}
+    n_term = Counter(w for ws in words.values() for w in ws)
+    spans = {i: [(a, b, k) for a, b, k in plain(t)] + [(m.start(), m.end(), "secret") for m in re.finditer(r"\b[0-9a-f]{40}\b", t)] for i, t in rows}
+    outside = {i: [m for m in re.finditer(r"[^\W\d_]{2,}", t) if all(m.end() <= a or b <= m.start() for a, b, _ in spans[i])] for i, t in rows}
+    docs, values = defaultdict(set), defaultdict(set)
+    for i, t in rows:
+        for a, b, k in spans[i]:
+            docs[k, t[a:b].lower()].add(i)
+            docs[k].add(i)
+    for i, t in rows:
+        for k in {k for _, _, k in spans[i]}:
+            for w in {m[0].lower() for m in outside[i]}:
+                values[k, w].add(min(t[a:b].lower() for a, b, kk in spans[i] if kk == k))
+    told = defaultdict(set)
+    for e, holding in docs.items():
+        for w in {m[0].lower() for i in holding for m in outside[i]}:
+            both = sum(w in {m[0].lower() for m in outside[i]} for i in holding)
+            part, all_ = both / n_term[w], len(holding) / n
+            if isinstance(e, str):
+                v = len(values[e, w])
+                part = (v * part + pii.PULL * all_) / (v + pii.PULL)
+            elif both < pii.SUPPORT:
+                continue
+            if all_ < 1 and math.log(part / all_) / math.log(1 / all_) >= pii.GENERALISE:
+                for i in holding:
+                    told[i] |= {(m.start(), m.end()) for m in outside[i] if m[0].lower() == w}
+    return {i: sorted(x) for i, x in told.items() if x}
+
+
+def test_spans_are_those_of_plain_counts(spark, tmp_path):
+    """Names beside one address far apart in the text, and a word that stands beside secrets of all values."""
+    rnd = random.Random(3)
+    filler = [f"{a}{b}{c}" for a in "bcdfghklmnprstvw" for b in "aeiou" for c in "bdgklmnprst"]
+    say = lambda n: " ".join(rnd.choice(filler) for _ in range(n))
+    texts = [f"Quorn {say(60)} zq@mail.example.org {say(40)} quorn" for _ in range(8)]
+    texts += [f"{say(20)} apikey = {rnd.getrandbits(160):040x} {say(20)}" for _ in range(25)]
+    texts += [f"{say(30)} m{k}@x.example.net {say(20)}" for k in range(20)] + [say(80) for _ in range(400)]
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("term:")] for r in op8_pii(spark, str(tmp_path)).collect()}
+    got = {i: sorted(x) for i, x in got.items() if x}
+    assert got == _plain_terms(rows)
+    said = Counter(texts[i][a:b].lower() for i, x in got.items() for a, b in x)
+    assert said["quorn"] == 16 and said["apikey"] == 25
+    clean = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(re.search(r"quorn|apikey|@|[0-9a-f]{40}", t, re.I) for t in clean.values())
+
+
+def test_secrets():
+    found = lambda t: [t[a:b] for a, b, _ in pii.find_secrets(t, pii.find_patterns(t))]
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    assert found(f'token = "{key}"###') == [key]
+    assert found("a-very-long-hyphenated-heading-2020-01-02 aaaaaaaaaaaaaaaaaaaaaaaaaaa 1111111111111111111111111") == []
+    assert found(f"{key}@mail.example.com") == []
 
 
 def test_copies_take_no_evidence_away(spark):
