@@ -153,7 +153,7 @@ def _tag(c: str) -> Column:
 
 def _kinds(stats: DataFrame) -> DataFrame:
     """(lang, source, kind): the kind that each language and source is judged in; null where all are too few."""
-    counts = settle(stats.where("not base_failed").groupBy("lang", "source").count())
+    counts = settle(stats.where("not base_failed").groupBy("lang", "source").count(), files=4)
     small = counts.where(F.col("count") < MIN_ROWS)
     lang = small.groupBy(F.col("lang").alias("l")).agg(F.sum("count").alias("n_lang"))
     rest = lang.where(F.col("n_lang") < MIN_ROWS).agg(F.coalesce(F.sum("n_lang"), F.lit(0)).alias("n_rest"))
@@ -163,7 +163,7 @@ def _kinds(stats: DataFrame) -> DataFrame:
         .when(F.col("n_lang") >= MIN_ROWS, F.concat(_tag("lang"), F.lit("/*")))
         .when(F.col("n_rest") >= MIN_ROWS, F.lit("*"))
     )
-    return settle(at.select("lang", "source", kind.alias("kind")))
+    return settle(at.select("lang", "source", kind.alias("kind")), files=4)
 
 
 _MEANS = [f"m_{i}" for i in range(_P)]
@@ -180,7 +180,7 @@ def _cholesky(scatter: DataFrame) -> DataFrame:
         at = at.selectExpr("*", f"sqrt(greatest(c_{j}_{j} - ({dot(j)}), {least[j] * 0.01}D)) as l_{j}_{j}")
         at = at.selectExpr("*", *[f"(c_{i}_{j} - ({dot(i)})) / l_{j}_{j} as l_{i}_{j}" for i in range(j + 1, _P)])
     determinant = " + ".join(f"2 * ln(l_{i}_{i})" for i in range(_P))
-    return settle(at.selectExpr("kind", "start", *_MEANS, *_FACTORS, f"{determinant} as log_det"))
+    return settle(at.selectExpr("kind", "start", *_MEANS, *_FACTORS, f"{determinant} as log_det"), files=4)  # a row for each kind and start
 
 
 def _estimates(moments: DataFrame, scale: Column) -> DataFrame:
@@ -241,7 +241,7 @@ def _starts(stats: DataFrame) -> DataFrame:
     """Estimates of every kind from medians and quartiles (start 0), spatial signs (1) and hyperbolic tangents (2)."""
     spread = stats.groupBy("kind").agg(*[F.percentile(f"x_{k}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{i}") for i, k in enumerate(_NAMES)])
     deviation = [F.greatest((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, F.lit(FEATURES[_NAMES[i]] * SCALE)) for i in range(_P)]
-    spread = settle(spread.select("kind", *[F.col(f"q_{i}")[1].alias(f"m_{i}") for i in range(_P)], *[deviation[i].alias(f"d_{i}") for i in range(_P)]))
+    spread = settle(spread.select("kind", *[F.col(f"q_{i}")[1].alias(f"m_{i}") for i in range(_P)], *[deviation[i].alias(f"d_{i}") for i in range(_P)]), files=4)
     scores = lookup(stats, spread, "kind").select("kind", *[((F.col(f"x_{k}") - F.col(f"m_{i}")) / F.col(f"d_{i}")).alias(f"z_{i}") for i, k in enumerate(_NAMES)])
     length = F.greatest(sum((F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(1, _P)), F.col("z_0") * F.col("z_0")), F.lit(1e-9))
     fine = lambda v: F.sum(F.round(v * FINE).cast("long"))
@@ -273,7 +273,7 @@ def minimum_covariance(stats: DataFrame) -> DataFrame:
         if step and (fall is None or fall <= CONVERGED):
             break
     best = estimates.groupBy("kind").agg(F.min(F.struct("log_det", "start", *_MEANS, *_FACTORS)).alias("e")).select("kind", "e.*")
-    near = _binned(stats, settle(best)).where(F.col("bin") <= _bin(F.lit(chi2_quantile(REWEIGHT, _P))))
+    near = _binned(stats, settle(best, files=4)).where(F.col("bin") <= _bin(F.lit(chi2_quantile(REWEIGHT, _P))))
     sums = ["n", *[f"s_{i}" for i in range(_P)], *[f"s_{i}_{j}" for i, j in _CELLS]]
     return _estimates(near.groupBy("kind", "start").agg(*[F.sum(c).alias(c) for c in sums]), F.lit(consistency(REWEIGHT, _P)))
 
