@@ -270,11 +270,31 @@ class Codec:
         return self.automaton.decode(np.frombuffer(ids, "<u4").tolist())
 
 
+def unsupported(spec: dict[str, object]) -> list[str]:
+    """What a tokenizer file asks for that the automaton doesn't do.
+
+    Truncation, padding and post-processing don't count: texts are encoded without special tokens, as a whole.
+    """
+    model, split, decoder = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("decoder") or {}
+    why = [] if model.get("type", "BPE") == "BPE" else [f"model {model['type']}"]
+    if spec.get("normalizer"):
+        why.append("a normalizer")
+    if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        why.append("another pre-tokenizer")
+    if decoder.get("type") != "ByteLevel":
+        why.append("another decoder")
+    why += [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    why += [f"added token {t['content']!r}" for t in spec.get("added_tokens", []) if t.get("single_word") or t.get("lstrip") or t.get("rstrip") or t.get("normalized")]
+    return why
+
+
 @lru_cache(maxsize=2)
 def codec(tokenizer_json: str) -> Codec:
-    """Compiled once per worker from the JSON text of a byte-level BPE tokenizer."""
+    """Compiled once per worker from the JSON text of a byte-level BPE tokenizer; other kinds are refused."""
     spec = json.loads(tokenizer_json)
     model = spec["model"]
+    if why := unsupported(spec):
+        raise ValueError(f"this tokenizer isn't plain byte-level BPE: {', '.join(why)}")
     merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
     return Codec(Automaton(model["vocab"], merges, {t["content"]: t["id"] for t in spec.get("added_tokens", [])}))
 

@@ -126,3 +126,19 @@ def test_ids_and_text(spark):
     python_ready(spark)
     row = spark.createDataFrame([("naïve café",)], "text string").select(bpe.bpe(F.col("text"), PATH).alias("c")).first().c
     assert row.decoded == "naïve café" and len(row.ids) > 2
+
+
+def test_other_kinds_of_tokenizers_are_refused():
+    import json
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    assert bpe.unsupported(spec) == []
+    for change in (
+        {"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"decoder": None}, {"model": spec["model"] | {"ignore_merges": True}},
+        {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}},
+    ):
+        with pytest.raises(ValueError, match="byte-level"):
+            bpe.codec(json.dumps(spec | change))
