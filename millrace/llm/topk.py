@@ -13,7 +13,7 @@ far in the query node's group.  Bounds are floating point with slack; scores
 are exact integers.
 
 Scale: queries are taken in blocks of ``QUERY_BLOCK`` (a bound, whatever the
-size of the table), whose tree is broadcast; every data split is streamed in
+size of the table), whose tree goes to every task with its code; every data split is streamed in
 chunks of ``CHUNK`` rows, each indexed and searched in turn, and leaves k rows
 a query.  Data isn't shuffled or copied, and equal vectors are spread like any
 others.  Per query the k rows of every split are merged by one grouped window.
@@ -112,7 +112,8 @@ class Search:
         """More data: integer rows and their ids."""
         data = CoverTree.build(x.astype(np.float64))
         # products below 2 ** 53 are exact in floating point, which is faster
-        fits = self.top * float(np.abs(x).max(initial=0)) * max(1, x.shape[1]) < 2**53
+        largest = self.top * float(np.abs(x.astype(np.float64)).max(initial=0)) * max(1, x.shape[1])
+        fits = 53 if largest < 2**53 else 63 if largest < 2**62 else 0
         self._descend(0, np.array([0]), data, ids, x, fits)
 
     def _bounds(self, q: int, nodes: np.ndarray, data: CoverTree) -> np.ndarray:
@@ -133,7 +134,7 @@ class Search:
             todo += self.tree.children[n].tolist()
         return np.concatenate(found)
 
-    def _descend(self, q: int, nodes: np.ndarray, data: CoverTree, ids: np.ndarray, x: np.ndarray, fits: bool) -> None:
+    def _descend(self, q: int, nodes: np.ndarray, data: CoverTree, ids: np.ndarray, x: np.ndarray, fits: int) -> None:
         worst = self._worst(self._rows(q))
         nodes = nodes[self._bounds(q, nodes, data) >= worst]
         if not nodes.size:
@@ -161,11 +162,13 @@ class Search:
                 break
             self._compare(rows, np.concatenate([data.points[n] for n in order[k : k + 16]]), x, ids, fits)
 
-    def _compare(self, rows: np.ndarray, points: np.ndarray, x: np.ndarray, ids: np.ndarray, fits: bool) -> None:
-        if fits:
+    def _compare(self, rows: np.ndarray, points: np.ndarray, x: np.ndarray, ids: np.ndarray, fits: int) -> None:
+        if fits == 53:
             s = (self.tree.x[rows] @ x[points].T.astype(np.float64)).astype(np.int64)
-        else:
+        elif fits:
             s = self.exact[rows] @ x[points].T
+        else:  # Python's integers have no bound
+            s = np.clip(self.exact[rows].astype(object) @ x[points].T.astype(object), _NONE + 1, -(_NONE + 1)).astype(np.int64)
         s[self.ids[rows][:, None] == ids[points][None, :]] = _NONE
         some = (s >= np.maximum(self.score[rows, -1], _NONE + 1)[:, None]).any(axis=0)
         if not some.any():

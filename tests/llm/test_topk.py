@@ -91,3 +91,13 @@ def test_bounds_prune():
     s._compare = lambda rows, points, *a: (seen.append(len(rows) * len(points)), compare(rows, points, *a))
     s.see(x.astype(np.int64), ids)
     assert sum(seen) < 0.5 * 40 * 4000
+
+
+def test_scores_beyond_64_bits(spark, tmp_path):
+    """Products that would wrap are exact, and count as the nearest score that fits."""
+    rows = [(100, [2.0**40, 1.0]), (1, [2.0**40, 0.0]), (2, [2.0**20, 3.0]), (3, [-(2.0**40), 5.0]), (4, [0.0, 2.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = [(r.vec_id, r.score) for r in sorted(op7_topk(spark, str(tmp_path)).collect(), key=lambda r: r["rank"])]
+    top = 2**63 - 1
+    want = [(1, top), (2, top), (4, 2 << 20), (3, -top)]
+    assert got == want
