@@ -22,8 +22,8 @@ BLANK_RUN = r"[\x20\x09-\x0D]+"
 #: A word, likewise.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: A lookup table of at most so many rows may be broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 10_000
+#: A lookup table of at most so many rows and bytes (as JSON) may be broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 10_000, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,10 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def lookup(rows: DataFrame, small: DataFrame, on: Column | str | list[str], how: str = "left") -> DataFrame:
     """Join ``rows`` with a table that is usually small.
 
-    Its rows are counted first: up to ``BROADCAST_ROWS`` it is broadcast, beyond that Spark shuffles both sides.
+    It is measured first: up to ``BROADCAST_ROWS`` and ``BROADCAST_BYTES`` it is broadcast, beyond that Spark shuffles both sides.
     """
-    n = small.limit(BROADCAST_ROWS + 1).count()
-    return rows.join(F.broadcast(small) if n <= BROADCAST_ROWS else small.hint("merge"), on, how)
+    size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("size")
+    found = small.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), size).first()
+    fits = found["n"] <= BROADCAST_ROWS and found["size"] <= BROADCAST_BYTES
+    return rows.join(F.broadcast(small) if fits else small.hint("merge"), on, how)
 
 
 def python_ready(spark: SparkSession, rows: int = 1000) -> None:
