@@ -4,8 +4,9 @@ A text's terms are its words and the words' beginnings (which carry inflected
 forms to their stem), hashed into ``2 ** BITS`` buckets.  A text's vector holds
 damped counts of the buckets that tell toxic documents from others in the
 sample (log-likelihood ratio), and of the ``FREQUENT`` buckets found in most
-toxic documents, which may tell nothing alone but something in pairs.  Its score
-is
+toxic documents, which may tell nothing alone but something in pairs.  Buckets
+that more than a tenth of the sample has weigh less, by ``-log10`` of that part.
+Its score is
 
     sigmoid(w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j),
 
@@ -51,7 +52,7 @@ SAMPLE = 20_000
 EVIDENCE = 12.0
 #: So many others enter it by the number of toxic documents that have them, if not in more than half of the sample.
 FREQUENT = 256
-EPOCHS, BATCH, RATE, DECAY = 40, 64, 0.02, 2e-3
+EPOCHS, BATCH, RATE, DECAY = 40, 64, 0.02, 1e-3
 SEED = 7
 MEMO_WORDS = 50_000
 
@@ -66,6 +67,8 @@ class Model:
     cells: np.ndarray
     w: np.ndarray
     v: np.ndarray
+    #: What the counts of each bucket are multiplied by.
+    scale: np.ndarray | None = None
 
     def logit(self, at: np.ndarray, x: np.ndarray) -> float:
         """Of the values ``x`` at the places ``at`` in ``cells``."""
@@ -82,9 +85,10 @@ def buckets(word: str) -> list[int]:
 class Terms(dict):
     """Word -> the places of its terms in ``cells``, mostly none; a memo of bounded size."""
 
-    def __init__(self, cells: np.ndarray):
+    def __init__(self, cells: np.ndarray, scale: np.ndarray | None = None):
         super().__init__()
         self.place = {int(c): k for k, c in enumerate(cells)}
+        self.scale = np.ones(len(cells), np.float32) if scale is None else scale
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         found = tuple(self.place[b] for b in buckets(word) if b in self.place)
@@ -99,7 +103,7 @@ class Terms(dict):
         if not places:
             return np.zeros(0, np.int64), np.zeros(0, np.float32)
         at, n = np.unique(places, return_counts=True)
-        return at, np.minimum(1 + np.log2(n) / 2, 3).astype(np.float32)
+        return at, np.minimum(1 + np.log2(n) / 2, 3).astype(np.float32) * self.scale[at]
 
 
 def all_buckets(text: str | None) -> list[int]:
@@ -149,8 +153,13 @@ def _all_buckets(texts: pa.Array) -> pa.Array:
     return pa.array([all_buckets(t.as_py()) for t in texts], pa.list_(pa.int32()))
 
 
-def telling(sample: DataFrame, n: int, toxic: int) -> np.ndarray:
-    """The buckets that tell toxic documents of the sample (toxic, text) from its others, ascending."""
+def scale_of(df: np.ndarray, n: int) -> np.ndarray:
+    """Of buckets by the number of documents of the sample that have them."""
+    return np.clip(-np.log10(np.maximum(df, 1) / n), 0, 1).astype(np.float32)
+
+
+def telling(sample: DataFrame, n: int, toxic: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of the model of the sample (toxic, text), ascending, and their scale."""
     seen = sample.select("toxic", F.explode(_all_buckets("text")).alias("bucket"))
     counts = seen.groupBy("bucket").agg(F.count(F.lit(1)).alias("df"), F.sum("toxic").alias("a"))
     share = toxic / n
@@ -161,9 +170,11 @@ def telling(sample: DataFrame, n: int, toxic: int) -> np.ndarray:
     a, df = F.col("a"), F.col("df")
     g2 = 2 * (part(a, df * share) + part(df - a, df * (1 - share)) + part(toxic - a, (n - df) * share) + part(n - toxic - (df - a), (n - df) * (1 - share)))
     counts = settle(counts.where(a >= 3))
-    rows = counts.where(g2 >= EVIDENCE).select("bucket").toArrow()  # at most 2 ** BITS, a few thousand in practice
-    often = counts.where(df <= n / 2).orderBy(a.desc(), "bucket").limit(FREQUENT).select("bucket").toArrow()
-    return np.union1d(rows.column("bucket").to_numpy(), often.column("bucket").to_numpy()).astype(np.int32)
+    rows = counts.where(g2 >= EVIDENCE).select("bucket", "df").toArrow()  # at most 2 ** BITS, a few thousand in practice
+    often = counts.where(df <= n / 2).orderBy(a.desc(), "bucket").limit(FREQUENT).select("bucket", "df").toArrow()
+    found = {b: k for part in (rows, often) for b, k in zip(part.column("bucket").to_pylist(), part.column("df").to_pylist(), strict=True)}
+    cells = np.array(sorted(found), np.int32)
+    return cells, scale_of(np.array([found[int(b)] for b in cells], np.float64), n)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -177,12 +188,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     total = texts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
     if not 0 < total["toxic"] < total["n"]:
         return fit(np.zeros(0, np.int32), [], np.array([1.0 if total["toxic"] else 0.0]))
-    cells = telling(texts, total["n"], total["toxic"])
+    cells, scale = telling(texts, total["n"], total["toxic"])
     kind = T.StructType([T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("x", T.ArrayType(T.FloatType()))])
 
     @F.arrow_udf(kind)
     def vectors(batch: pa.Array) -> pa.Array:
-        terms = _terms(cells)
+        terms = _terms(cells, scale)
         rows = [terms.vector(t.as_py()) for t in batch]
         return pa.StructArray.from_arrays(
             [pa.array([r[0].astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float32()))], names=["at", "x"]
@@ -190,14 +201,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     table = texts.select("doc_id", "toxic", vectors("text").alias("v")).toArrow().sort_by("doc_id")  # at most ``sample`` rows
     rows = [(v["at"].values.to_numpy(), v["x"].values.to_numpy()) for v in table.column("v")]
-    return fit(cells, rows, table.column("toxic").to_numpy().astype(np.float64))
+    model = fit(cells, rows, table.column("toxic").to_numpy().astype(np.float64))
+    model.scale = scale
+    return model
 
 
-def _terms(cells: np.ndarray, known: dict[bytes, Terms] = {}) -> Terms:  # noqa: B006 - one memo per worker
-    key = cells.tobytes()
+def _terms(cells: np.ndarray, scale: np.ndarray | None, known: dict[bytes, Terms] = {}) -> Terms:  # noqa: B006 - one memo per worker
+    key = cells.tobytes() + (b"" if scale is None else scale.tobytes())
     if key not in known:
         known.clear()
-        known[key] = Terms(cells)
+        known[key] = Terms(cells, scale)
     return known[key]
 
 
@@ -208,7 +221,7 @@ def score(docs: DataFrame, model: Model) -> Column:
     @F.arrow_udf(T.DoubleType())
     def run(texts: pa.Array) -> pa.Array:
         m = shared.value
-        terms = _terms(m.cells)
+        terms = _terms(m.cells, m.scale)
         return pa.array(sigmoid(np.array([m.logit(*terms.vector(t.as_py())) for t in texts])), pa.float64())
 
     return run("text")

@@ -73,7 +73,8 @@ def test_query_scores_are_the_models_done_plainly(spark, tmp_path):
         if a >= 3 and df <= n / 2:
             often.append((-a, b))
     cells = np.array(sorted({*cells, *(b for _, b in sorted(often)[: toxicity.FREQUENT])}), np.int32)
-    terms = toxicity.Terms(cells)
+    share = np.array([sum(int(b) in x for x in have.values()) for b in cells]) / n
+    terms = toxicity.Terms(cells, np.minimum(1, -np.log10(share)).astype(np.float32))
     order = sorted(known)
     model = toxicity.fit(cells, [terms.vector(text[i]) for i in order], np.array([float(known[i]) for i in order]))
     for i, t, _, _ in docs:
