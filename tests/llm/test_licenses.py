@@ -136,7 +136,7 @@ def test_query_against_every_passage(spark, tmp_path):
                             left[pairs[end]] -= 1
                             shared += 1
                         best[name] = max(best.get(name, 0.0), 2 * shared / (end - start + 1 + m))
-        found = sorted(((-d, k) for k, d in enumerate(best.values()) if d >= licenses.THRESHOLD), default=[])
+        found = sorted(((-d, k) for k, d in enumerate(best.values()) if d >= licenses.THRESHOLD))
         names = list(best)
         want[(i, names[found[0][1]], round(-found[0][0], 9)) if found else (i, None, None)] += 1
     assert got == want
