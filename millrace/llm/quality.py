@@ -47,7 +47,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, lookup, settle, words_of
+from .common import BLANK_RUN, BLANKS, lookup, settle, words_of
 
 #: A kind (language and source) needs so many usable documents for estimates of its own: ten for each statistic.
 MIN_ROWS = 60
@@ -97,14 +97,14 @@ def with_statistics(docs: DataFrame, keep_row: bool = False) -> DataFrame:
     """doc_id, lang, source, the base counts and the transformed statistics x_* of every row; ``row`` on request."""
     carried = ["doc_id", "lang", "source", *(["row"] if keep_row else [])]
     at = docs.select("doc_id", "lang", "source", *([F.struct(*docs.columns).alias("row")] if keep_row else []), F.coalesce("text", F.lit("")).alias("text"))
-    without = lambda signs: F.length(F.translate("text", signs, ""))
+    without = lambda signs: F.length(F.regexp_replace("text", signs, ""))
     at = at.select(
         *carried,
         words_of(F.col("text")).alias("w"),
         F.filter(F.split("text", "\n"), lambda line: F.btrim(line, F.lit(BLANKS)) != "").alias("lines"),
-        without(BLANKS).cast("long").alias("word_chars"),
-        (F.length("text") - without("#*$%&|<>")).cast("long").alias("n_symbols"),
-        (F.length("text") - F.length(F.regexp_replace("text", r"\p{Lu}", ""))).alias("n_capitals"),
+        without(BLANK_RUN).cast("long").alias("word_chars"),
+        (F.length("text") - without(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        (F.length("text") - without(r"\p{Lu}")).alias("n_capitals"),
     )
     n = F.size("w")
     window = lambda i: (F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))
