@@ -44,6 +44,8 @@ BITS = 64
 MAX_DISTANCE = 3
 #: Distinct fingerprints of one index group that are compared in one task; larger groups go to a finer index.
 GROUP_CAP = 4096
+#: Edges of a graph that one file holds between rounds.
+EDGES = 250_000
 #: Shingle hashes whose bits are counted at once, for bounded memory on very long texts.
 CHUNK = 8192
 
@@ -219,34 +221,35 @@ def connected(edges: DataFrame) -> DataFrame:
     with the smallest number, if that is smaller than its own; pointers are followed to their end, and edges are drawn
     between the merged groups.  A group with ``d`` neighbours stays with probability ``1 / (d + 1)`` at most, so half of
     the groups that still have an edge, or more, are expected to go in a round.  All tables stay distributed and are
-    written between rounds.
+    written between rounds, in a file for each ``EDGES`` edges.
     """
     ab = edges.select("a", "b").where("a <> b")
     e = settle(ab.union(ab.select("b", "a")).distinct())
     labels = None
     turn = 0
-    while not e.isEmpty():
+    while n := e.count():
+        files = -(-n // EDGES)
         number = lambda c, turn=turn: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("at"))
         best = e.groupBy("a").agg(F.min(number("b")).alias("m"))
-        step = settle(best.select(F.col("a").alias("node"), F.least("m", number("a")).at.alias("root")))
+        step = settle(best.select(F.col("a").alias("node"), F.least("m", number("a")).at.alias("root")), files)
         while True:
             on = step.alias("p").join(step.alias("q"), F.col("p.root") == F.col("q.node"))
-            step = settle(on.select("p.node", F.col("q.root").alias("root"), (F.col("p.root") != F.col("q.root")).alias("moved")))
+            step = settle(on.select("p.node", F.col("q.root").alias("root"), (F.col("p.root") != F.col("q.root")).alias("moved")), files)
             if step.where("moved").isEmpty():
                 break
         step = step.select("node", "root")
         if labels is None:
-            labels = step
+            labels, most = step, files
         else:
             after = step.select(F.col("node").alias("root"), F.col("root").alias("after"))
-            labels = settle(labels.join(after, "root", "left").select("node", F.coalesce("after", "root").alias("root")))
+            labels = settle(labels.join(after, "root", "left").select("node", F.coalesce("after", "root").alias("root")), most)
         a, b = (step.select(F.col("node").alias(c), F.col("root").alias(f"{c}_")) for c in "ab")
-        e = settle(e.join(a, "a").join(b, "b").where("a_ <> b_").select(F.col("a_").alias("a"), F.col("b_").alias("b")).distinct())
+        e = settle(e.join(a, "a").join(b, "b").where("a_ <> b_").select(F.col("a_").alias("a"), F.col("b_").alias("b")).distinct(), files)
         turn += 1
     if labels is None:
         return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     least = labels.groupBy("root").agg(F.min("node").alias("least"))
-    return settle(labels.join(least, "root").select("node", F.col("least").alias("root")))
+    return settle(labels.join(least, "root").select("node", F.col("least").alias("root")), most)
 
 
 def classes(rows: DataFrame) -> DataFrame:
