@@ -27,9 +27,10 @@ word, however long it is.
 replacement character for what isn't.
 
 Defined cases: a null text counts as empty (no tokens, the digests of the empty
-string); the string of a special token in a text becomes that token; repeated
-rows are all returned; an empty table gives an empty result; further columns
-of the input, whatever their names, are kept apart and never looked at.
+string); the string of a special token in a text becomes that token; a very
+long text is encoded as a whole; repeated rows are all returned; an empty table
+gives an empty result; further columns of the input, whatever their names, are
+kept apart and never looked at.
 """
 
 from __future__ import annotations
