@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, minhash, mixing, pii, quality
+from millrace.llm import bpe, mixing, pii, quality, similar
 from millrace.llm.common import python_ready, settle, table
 
 
@@ -20,8 +20,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8) stays."""
-    return minhash.deduplicate(docs)
+    """One document of each group of near duplicates (SimHash index, five-word shingles, similarity 0.8) stays."""
+    return similar.deduplicate(docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
