@@ -4,9 +4,10 @@ The method is that of ``simhash`` with fingerprints that reach the similarity as
 its five-word shingles, and its SimHash has ``BITS`` bits instead of 64: two texts of similarity 0.8 differ in some
 15 % of the bits, ten of 64, which three bits don't reach and segments of 64 bits can't index.  The fingerprint is
 cut into 32 segments of 16 bits, and texts come together that agree in a segment but for one wildcard bit.  Then the
-differing bits of three quarters of the fingerprint are counted, which must be ``MAX_DISTANCE`` at most, and what is
-left is compared by the whole shingle sets and linked from ``SIMILARITY`` on.  So no link is wrong.  Groups are the
-connected components of the links.
+differing bits of three quarters of the fingerprint are counted, which must be ``MAX_DISTANCE`` at most.  Connected
+components of what is near in that sense are classes.  The texts of a class are compared by their whole shingle sets
+and linked from ``SIMILARITY`` on, so no link is wrong, and none within a class is missed.  Groups are the connected
+components of the links.
 
 By the formula a pair at 0.8 is missed with probability 4e-5: a bit differs with probability 0.1515, a segment agrees
 but for one bit with 0.278, and 88 of 384 bits are exceeded with 1e-5.  In sets of few shingles majorities are often
@@ -16,13 +17,13 @@ together by the sets without one shingle, which finds all.
 Scale: equal shingle sets are merged before anything is indexed.  A wildcard is in one of a segment's two bytes, so
 rows are dealt by the other byte, two for each segment, and the variants of the byte with the wildcard are made where
 the rows are read.  What is near there, also over others, is a bucket; texts alone in theirs go no further.
-The first ``FIRST`` segments of every text join most of what is alike: of each bucket's texts one
-is compared with all others, and what is linked forms groups.  Then, in all
-buckets of all segments that bring different groups together, every text is compared with its nearest of each larger
-group, if within ``MAX_DISTANCE``.  So a group of copies costs about one comparison a copy and bucket of the first
-segments.  Which texts of a group are in a bucket differs from bucket to bucket, so two linked texts of which one has
-another text nearer by are left to other buckets, or missed if it is nearer in all.  Texts are shuffled only to their comparisons, by joins
-that adaptive execution splits.
+The first ``FIRST`` segments of every text give most of the classes: of each bucket's texts one is a candidate with
+all others.  Then, in the buckets of all segments, only what is still in different classes gives candidates, every text
+with its nearest of each larger class, or where more than ``MEETING`` classes meet again one with all others; either
+joins the bucket.  So a text gives a bounded number of candidates in a bucket, however many are alike.  Texts move once,
+to the other texts of their class.  There they are searched from text to text by the shingles they share, and what is
+reached is not compared again, which gives the links of a spanning forest and never the pairs.  A class of more than
+``BLOCK`` bytes is cut into blocks and every two blocks meet, so its texts move once for each other block.
 
 Defined cases: as in ``simhash``; texts without words have equal (empty) sets; a
 very long text is read as a whole, its shingles counted in parts.
@@ -55,6 +56,10 @@ FIRST = 3
 CHUNK = 255
 #: Pairs of fingerprints that are looked at at once.
 PAIRS = 1 << 20
+#: Classes of a bucket that give more candidates than join them.
+MEETING = 32
+#: Bytes of a class's texts, and what each text adds to its own, that are compared in one task (two blocks of them in a larger class).
+BLOCK, TEXT = 16 << 20, 256
 
 _RNG = np.random.default_rng(42)
 _TIMES = _RNG.integers(0, 2**64, (2, BITS // 64, 1), dtype=np.uint64) | np.uint64(1)
@@ -199,8 +204,10 @@ def _star(fp: np.ndarray, comp: np.ndarray, words: np.ndarray, key: int) -> tupl
 
 
 def _nearest(fp: np.ndarray, comp: np.ndarray, words: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (a, b) of a bucket: every b with its nearest a of each larger group, of those within ``MAX_DISTANCE``."""
+    """Rows (a, b) of a bucket: every b with its nearest a of each larger group, of those within ``MAX_DISTANCE``; ``_star`` beyond ``MEETING`` groups."""
     _, at, size = np.unique(comp, return_inverse=True, return_counts=True)
+    if size.size > MEETING:
+        return _star(fp, comp, words, key)
     rank = np.empty(size.size, np.int64)
     rank[np.argsort(-size, kind="stable")] = np.arange(size.size)
     rank = rank[at]
@@ -267,24 +274,68 @@ def indexed(nodes: DataFrame, segments: int = BITS // SEGMENT, every: bool = Tru
     return out.unionByName(settle(less.join(nodes.select(F.col("fp").alias("a")).hint("merge"), "a", "left_semi").select("a", "b")))
 
 
-@F.arrow_udf(T.BooleanType())
-def _linked(x: pa.Array, y: pa.Array) -> pa.Array:
-    seen, said = None, None
-    out = []
-    for s, t in zip(x, y, strict=True):
-        if (text := s.as_py()) != seen or said is None:
-            seen, said = text, shingles(text)
-        out.append(jaccard(said, shingles(t.as_py())) >= SIMILARITY)
-    return pa.array(out, pa.bool_())
-
-
-def _compared(cand: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): the links among the candidates (a, b), whose texts are (fp, text)."""
-    python_ready(cand.sparkSession, 250)  # two texts a row
-    a = texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b"))
-    both = cand.select("a", "b").distinct().join(b.hint("merge"), "b").join(a.hint("merge"), "a")
-    return settle(both.where(_linked("text_a", "text_b")).select("a", "b"))
+def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the links among different sets of hashes, by search from set to set: what is reached is not compared again."""
+    if len(sets) == 2:
+        return [(0, 1)] if jaccard(*sets) >= SIMILARITY else []
+    size = np.array([s.size for s in sets])
+    rest, waits = np.arange(size.size), np.ones(size.size, bool)  # sets that may be unreached, and whether each is
+    hashes, owner = np.concatenate(sets), np.repeat(rest, size)  # of them; owner is a place in rest
+    order = np.argsort(hashes, kind="stable")
+    hashes, owner = hashes[order], owner[order]
+    found: list[tuple[int, int]] = []
+    front: list[int] = []
+    while left := int(waits.sum()):
+        if 2 * left <= rest.size:
+            some = waits[owner]
+            hashes, owner = hashes[some], (np.cumsum(waits) - 1)[owner[some]]
+            rest, waits = rest[waits], waits[waits]
+        if not front:
+            begin = int(waits.argmax())
+            waits[begin] = False
+            front.append(int(rest[begin]))
+            continue
+        x = front.pop()
+        low = np.searchsorted(hashes, sets[x])
+        n = np.searchsorted(hashes, sets[x], side="right") - low
+        both = np.bincount(owner[np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)], minlength=rest.size)
+        reached = np.flatnonzero(waits & (both / np.maximum(size[rest] + size[x] - both, 1) >= SIMILARITY))
+        waits[reached] = False
+        found += [(x, y) for y in rest[reached].tolist()]
+        front += rest[reached].tolist()
+    return found
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (root, meeting, fp, text) in order of the first two: (a, b) by ``forest`` of each meeting's texts."""
+    at: tuple[int, int] | None = None
+    fps: list[int] = []
+    sets: list[np.ndarray] = []
+    out: list[tuple[int, int]] = []
+    for batch in batches:
+        for root, meeting, fp, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (root, meeting) != at:
+                out += [(fps[x], fps[y]) for x, y in forest(sets)] if len(fps) > 1 else []
+                at, fps, sets = (root, meeting), [], []
+            fps.append(fp)
+            sets.append(shingles(text))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+            out = []
+    if len(fps) > 1 and (out := [(fps[x], fps[y]) for x, y in forest(sets)]):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+
+def _compared(classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b): links that join all that is alike in each class (fp, rid, octets, root), whose texts are in rows (rid, row)."""
+    blocks = settle(classes.groupBy("root").agg(F.ceil(F.sum(F.col("octets") + TEXT) / BLOCK).alias("k")))
+    own = F.expr("pmod(xxhash64(fp), k)")
+    others = F.expr("transform(filter(sequence(0L, k - 1), m -> m <> own), m -> least(m, own) * k + greatest(m, own))")
+    meeting = F.explode(F.when(F.col("k") == 1, F.array(F.lit(0).cast("long"))).otherwise(others)).alias("meeting")
+    meet = settle(classes.join(blocks.hint("merge"), "root").withColumn("own", own).select("rid", "fp", "root", meeting))
+    texts = rows.select("rid", "row.text").join(meet.hint("merge"), "rid").select("root", "meeting", "fp", "text")
+    dealt = texts.repartition("root", "meeting").sortWithinPartitions("root", "meeting")
+    return settle(dealt.mapInArrow(_alike, "a long, b long"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -296,19 +347,16 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.struct(*docs.columns).alias("row"), _sketch("text").alias("s"))
     rows = settle(rows.select("row", "s.*", F.monotonically_increasing_id().alias("rid")))
     first = F.min(F.struct(F.col("row.doc_id").isNull().alias("n"), F.col("row.doc_id").alias("doc_id"), "rid")).alias("m")
-    nodes = settle(rows.groupBy("fp").agg(first, F.first("bits").alias("bits"), F.first("less").alias("less")))
-
-    def text_of(cand: DataFrame) -> DataFrame:
-        fps = cand.select(F.col("a").alias("fp")).union(cand.select("b")).distinct()
-        some = settle(nodes.join(fps.hint("merge"), "fp", "left_semi").select("m.rid"))
-        return settle(rows.join(some.hint("merge"), "rid", "left_semi").select("fp", "row.text"))
+    octets = F.max(F.coalesce(F.octet_length("row.text"), F.lit(0)).cast("long")).alias("octets")
+    nodes = settle(rows.groupBy("fp").agg(first, octets, F.first("bits").alias("bits"), F.first("less").alias("less")))
 
     def in_group(roots: DataFrame) -> DataFrame:
         return nodes.join(roots, nodes.fp == roots.node, "left").withColumn("comp", F.coalesce("root", "fp"))
 
     begin = indexed(nodes.withColumn("comp", F.col("fp")), FIRST, every=False)
-    links = _compared(begin, text_of(begin))
-    rest = indexed(in_group(connected(links)))
-    roots = connected(links.unionByName(_compared(rest, text_of(rest))))
+    rest = indexed(in_group(connected(begin)))
+    classes = connected(begin.unionByName(rest))
+    members = nodes.join(classes, nodes.fp == classes.node).select("fp", "m.rid", "octets", "root")
+    roots = connected(_compared(settle(members), rows))
     stay = settle(in_group(roots).groupBy("comp").agg(F.min("m").alias("m")).select("m.rid"))
     return rows.join(stay.hint("merge"), "rid", "left_semi").select("row.*")

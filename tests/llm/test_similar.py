@@ -11,6 +11,8 @@ import pytest
 import corpus_pipeline as pipeline
 from millrace.llm import similar
 
+from .test_minhash import stay
+
 
 def _flipped(rnd, words, n):
     out = words.copy()
@@ -118,3 +120,58 @@ def test_the_stage_links_by_the_index(spark, monkeypatch):
     none = spark.createDataFrame([], "a long, b long")
     monkeypatch.setattr(similar, "indexed", lambda *a, **k: none)
     assert pipeline.distinct(spark, docs, "").count() == len(rows)
+
+
+def _variants(seed, n, length, changes):
+    rnd = random.Random(seed)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(length)]
+    rows = []
+    for k in range(n):
+        own = list(base)
+        for at in rnd.sample(range(length), rnd.choice(changes)):
+            own[at] = f"n{k}x{at}"
+        rows.append((k, " ".join(own), ""))
+    return rows
+
+
+@pytest.mark.parametrize("changes", [[4], [0, 1, 2, 3, 4]])
+def test_candidates_grow_with_the_texts_of_a_group(spark, monkeypatch, changes):
+    """Two texts of four changed words each are near by their bits, but seldom alike by 0.8."""
+    rows = _variants(4, 300, 200, changes)
+    counts = []
+    indexed = similar.indexed
+
+    def counted(*a, **k):
+        out = indexed(*a, **k)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(similar, "indexed", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, x string").repartition(3)
+    got = {r.doc_id for r in pipeline.distinct(spark, docs, "").collect()}
+    assert got == stay(rows)
+    assert sum(counts) <= 2 * similar.FIRST * 2 * len(rows)  # not 300 * 299 / 2
+
+
+def test_large_classes_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK", 20_000)
+    rows = _variants(9, 120, 100, [1, 2, 3])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, x string").repartition(3)
+    got = {r.doc_id for r in pipeline.distinct(spark, docs, "").collect()}
+    assert got == stay(rows) and 1 < len(got) < len(rows)
+
+
+def test_forest_joins_all_that_is_linked():
+    rng = np.random.default_rng(6)
+    for n in (2, 3, 40, 200):
+        base = rng.integers(0, 2**64, (4, 40), dtype=np.uint64)
+        sets = [np.unique(np.r_[rng.permutation(base[rng.integers(4)])[: rng.integers(32, 41)], rng.integers(0, 2**64, rng.integers(0, 5), dtype=np.uint64)]) for _ in range(n)]
+        sets[0] = sets[0][:0]
+        root = np.arange(n)
+        for x in range(n):
+            for y in range(x):
+                if similar.jaccard(sets[x], sets[y]) >= similar.SIMILARITY:
+                    root[root == max(root[x], root[y])] = min(root[x], root[y])
+        links = similar.forest(sets)
+        joined = similar._merged(np.arange(n), np.array([x for x, _ in links], int), np.array([y for _, y in links], int))
+        assert (joined == root).all() and len(links) == n - np.unique(root).size
